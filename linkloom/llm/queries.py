@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import language, oracles, quality
 from .common import table
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -53,11 +53,26 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language.learn(docs.where(~language.held_out("doc_id")))
+    out = language.predict(docs.select("doc_id", "text"), known)
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, crf).drop("text")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3}
