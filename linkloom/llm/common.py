@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the test data. Arrow batches of few rows, since one text may be megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,3 +71,89 @@ def prefix_sum(df: DataFrame, order: str, value: str, out: str, block: int = 409
 def md5_60(col: Column) -> Column:
     """The first 60 bits of md5 as a non-negative long."""
     return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long")
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """df, marked for broadcast if its counted rows take at most limit bytes;
+    otherwise Spark joins by shuffle. df should be a saved table."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal first n_keys (long) columns.
+    Rows come sorted by them; a run may span batches, and one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            k = keys[a].tolist()
+            if held and k != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = k
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def blocks(sizes: Column, most: int) -> Column:
+    """Into how many blocks a group of so many rows is split."""
+    return F.greatest(F.lit(1), F.ceil(sizes / most)).cast("long")
+
+
+def block_pairs(df: DataFrame, key: str, n_blocks: str, member: str) -> DataFrame:
+    """Each row once for every pair of blocks (bi <= bj) that its own block is
+    in, so that each two members of a group meet in one (key, bi, bj). mine:
+    the row's block. A group of one block gives each row once."""
+    mine = F.pmod(F.xxhash64(member, F.lit(5)), F.col(n_blocks))
+    out = df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_blocks) - 1)))
+    return out.withColumn("bi", F.least("mine", "other")).withColumn("bj", F.greatest("mine", "other")).drop("other")
+
+
+class Forest:
+    """Union-find over 0..n-1; links() has one edge for each successful union."""
+
+    def __init__(self, n: int):
+        self.up, self.made = list(range(n)), []
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def union(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.made.append((a, b))
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """node, label (the smallest node that edges reach) for all nodes of
+    edges. Each round gives every node the smallest of itself and its
+    neighbours and contracts the graph to those, until no edge is left: a
+    logarithmic number of rounds, each written to the shared folder. The graph
+    stays distributed; only counts reach the driver."""
+    live = edges.where(F.col(u) != F.col(v)).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+    live = save(live, "edges")
+    nodes = live.select(F.col("u").alias("node")).union(live.select("v")).distinct()
+    labels = save(nodes.select("node", F.col("node").alias("label")), "labels")
+    while live.count():
+        both = live.union(live.select("v", "u"))
+        low = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")), "low")
+        fit = small(low, 32)
+        old = labels
+        labels = save(labels.join(fit.select(F.col("u").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        forget(old)
+        a = live.join(fit.select("u", F.col("to").alias("a")), "u").select("a", "v")
+        b = a.join(fit.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
+        old = live
+        live = save(b.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        forget(old)
+        forget(low)
+    return labels

@@ -55,3 +55,29 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines,
 FROM k LEFT JOIN gone ON k.key = gone.key
 GROUP BY rid
 """
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh
+  FROM w WHERE len(ws) > 0),
+c AS (SELECT min(doc_id) AS cid, count(*) AS mult, any_value(list_sort(sh)) AS sh FROM s GROUP BY list_sort(sh)),
+m AS (SELECT s.doc_id, c.cid, c.mult FROM s JOIN c ON list_sort(s.sh) = c.sh),
+x AS (SELECT cid, mult, len(sh) AS n, unnest(sh) AS g FROM c),
+i AS (
+  SELECT a.cid AS u, b.cid AS v, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(b.mult) AS mv, count(*) AS k
+  FROM x a JOIN x b ON a.g = b.g AND a.cid <> b.cid GROUP BY 1, 2),
+l AS (SELECT u, v, mv FROM i WHERE k * 10 >= 8 * (na + nb - k)),
+r AS (
+  SELECT cid AS node, cid AS reach FROM c
+  UNION SELECT r.node, l.v FROM r JOIN l ON l.u = r.reach),
+t AS (SELECT node, min(reach) AS label FROM r GROUP BY node),
+n AS (SELECT u, sum(mv) AS links FROM l GROUP BY u)
+SELECT d.doc_id, coalesce(t.label, d.doc_id) AS class_id,
+       coalesce(m.mult - 1 + coalesce(n.links, 0), 0)::BIGINT AS n_links,
+       d.doc_id = coalesce(t.label, d.doc_id) AS kept
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN t ON t.node = m.cid LEFT JOIN n ON n.u = m.cid
+"""

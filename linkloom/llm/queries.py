@@ -10,6 +10,7 @@ from . import language, oracles, quality
 from .common import table
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_join import near_duplicates
 from .packing import pack
 from .sharding import shard
 
@@ -60,6 +61,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, n=5, threshold=0.8).drop("text")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crf = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -72,7 +78,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
+    "op8_ngram_join": op8_ngram_join,
     "op10_quality": op10_quality,
 }
 
-ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3}
+ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3, "op8_ngram_join": oracles.OP8}
