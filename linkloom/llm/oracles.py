@@ -81,3 +81,18 @@ SELECT d.doc_id, coalesce(t.label, d.doc_id) AS class_id,
        d.doc_id = coalesce(t.label, d.doc_id) AS kept
 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN t ON t.node = m.cid LEFT JOIN n ON n.u = m.cid
 """
+
+OP7 = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, l.v FROM r JOIN l ON l.u = r.reach),
+t AS (SELECT node, min(reach) AS c FROM r GROUP BY node),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, t.c AS component_id, vec_id = t.c AS kept
+FROM embeddings JOIN t ON t.node = vec_id LEFT JOIN n ON n.u = vec_id
+"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from . import language, oracles, quality
 from .common import table
+from .embeddings import near_vectors
+from .licenses import scan
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .ngram_join import near_duplicates
@@ -61,6 +63,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, n=5, threshold=0.8).drop("text")
@@ -78,8 +88,10 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
+    "op7_embeddings": op7_embeddings,
+    "op9_licenses": op9_licenses,
     "op8_ngram_join": op8_ngram_join,
     "op10_quality": op10_quality,
 }
 
-ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3, "op8_ngram_join": oracles.OP8}
+ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3, "op7_embeddings": oracles.OP7, "op8_ngram_join": oracles.OP8}
