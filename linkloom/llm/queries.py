@@ -15,6 +15,7 @@ from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .suffix_dedup import dedup_substrings
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -49,6 +50,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs, length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, tokenizer_path()).select(
@@ -86,6 +92,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_embeddings": op7_embeddings,
