@@ -47,7 +47,7 @@ def forget(df: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, since one text may be megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

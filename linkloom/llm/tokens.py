@@ -13,12 +13,19 @@ _SPLIT = re.compile(r"[ \t\n\r]+")
 _COACHES: dict[str, WordIds] = {}
 
 
+def _words(text: str) -> list[str]:
+    """Parts between white space; str.split also cuts at \x1c to \x1f, which tokens may hold."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
+        return _SPLIT.split(text)
+    return text.split()
+
+
 class WordIds:
     """ids(texts) equals encode(text, add_special_tokens=False).ids of each
     text. Where the file's rules never let a token span white space, words are
     looked up in a bounded cache and only unseen words are encoded."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,8 +55,8 @@ class WordIds:
             new = new.difference(again)
         stems = {w: w[:-1] for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()}
         need = [w for w in new.difference(stems).union(stems.values()) if w not in cache]
-        letters = [w for w in need if w.isascii() and w.isalpha()]
-        rest = [w for w in need if not (w.isascii() and w.isalpha())]
+        letters = [w for w in need if w.isalpha()]
+        rest = [w for w in need if not w.isalpha()]
         if letters:
             ids = np.asarray(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -67,7 +74,7 @@ class WordIds:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return self._plain(texts)
-        words = [_SPLIT.split(t.encode().lower().decode()) for t in texts]
+        words = [_words(t.encode().lower().decode()) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.cache)
         if new:
             if len(self.cache) + len(new) > self.room:  # words in use come back from the old generation
