@@ -73,7 +73,7 @@ class Suffixes:
         self.length = length
         sizes = np.array([len(p) for p in parts], np.int64)
         self.text = np.frombuffer(b"".join(parts), np.uint8)
-        self.part = np.repeat(np.arange(len(parts)), sizes)
+        self.part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         ends = np.cumsum(sizes)
         self.begin = ends - sizes
         left = ends[self.part] - np.arange(len(self.text))
@@ -82,8 +82,10 @@ class Suffixes:
         key = np.zeros(n, np.uint64)
         for k in range(8):
             key = (key << np.uint64(8)) | padded[k : k + n]
+        del padded
         self.levels: list[tuple[int, np.ndarray]] = []
         rank = self._number(key, left >= min(8, length))
+        del key
         depth = min(8, length)
         self.levels.append((depth, rank))
         while depth < length:
@@ -102,7 +104,7 @@ class Suffixes:
         order = at[np.argsort(key[at], kind="stable")]
         sorted_ = key[order]
         first = np.append(True, sorted_[1:] != sorted_[:-1]) if len(order) else np.zeros(0, bool)
-        rank = np.full(len(key), -1, np.int64)
+        rank = np.full(len(key), -1, np.int32)
         rank[order] = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
         return rank
 
@@ -112,7 +114,7 @@ class Suffixes:
         n = len(rank)
         at = np.flatnonzero(whole & (rank >= 0))
         size = np.bincount(rank[at], minlength=n + 1)
-        out = np.full(n, -1, np.int64)
+        out = np.full(n, -1, np.int32)
         single = size[rank[at]] == 1
         out[at[single]] = rank[at[single]]
         at = at[~single]
@@ -132,11 +134,15 @@ class Suffixes:
         """Common prefixes of suffixes i and j, up to length bytes, from the
         ranks of all depths, longest first (Kasai's values, in array form)."""
         out = np.zeros(len(i), np.int64)
-        n = len(self.text)
+        n, open_ = len(self.text), np.arange(len(i))
         for depth, rank in reversed(self.levels):
-            a, b = np.minimum(i + out, n - 1), np.minimum(j + out, n - 1)
-            same = (i + out < n) & (j + out < n) & (rank[a] >= 0) & (rank[a] == rank[b]) & (out + depth <= self.length)
-            out[same] += depth
+            done = out[open_]
+            x, y = i[open_] + done, j[open_] + done
+            ok = (x < n) & (y < n) & (done + depth <= self.length)
+            x, y = np.where(ok, x, 0), np.where(ok, y, 0)
+            same = ok & (rank[x] >= 0) & (rank[x] == rank[y])
+            out[open_[same]] += depth
+            open_ = open_[out[open_] < self.length]
         return out
 
     def repeated(self) -> np.ndarray:
@@ -193,33 +199,78 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _find_anchors(length: int):
+def _find_anchors(length: int, wanted=None):
+    """Anchors of each text; with wanted (a broadcast sorted array) those hashes alone, as a list by text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, s, e = anchors(np.frombuffer(t, np.uint8), length)
+                found.append((h, np.full(len(h), uid, np.int64), s, e))
+            if found:
+                cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+                for i in range(0, len(cols[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], ["hash", "uid", "s", "e"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
+        out: list[tuple] = []
         for batch in batches:
             for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, s, e = anchors(np.frombuffer(t, np.uint8), length)
-                for i in range(0, len(h), 1 << 16):
-                    c = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[c]), pa.array(np.full(len(h[c]), uid)), pa.array(s[c]), pa.array(e[c])], ["hash", "uid", "s", "e"])
+                if len(h) and len(known):
+                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                    for hash_, a, b in zip(h[hit].tolist(), s[hit].tolist(), e[hit].tolist(), strict=True):
+                        part = t[a : b + length]
+                        out.append((hash_, uid, a, xxhash.xxh3_128_digest(part), part))
+                        if len(out) >= 10_000:
+                            yield _pieces(out)
+                            out = []
+        if out:
+            yield _pieces(out)
 
-    return run
+    return run if wanted is None else cut
+
+
+PIECE = {"hash": pa.int64(), "uid": pa.int64(), "s": pa.int64(), "digest": pa.binary(), "text": pa.binary()}
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), PIECE.values(), strict=True)], list(PIECE))
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
             for uid, t, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for i in range(0, len(some), 4096):
-                    part = some[i : i + 4096]
-                    text = [t[x["s"] : x["e"] + length] for x in part]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x["hash"] for x in part], pa.int64()), pa.array([uid] * len(part), pa.int64()), pa.array([x["s"] for x in part], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in text], pa.binary()), pa.array(text, pa.binary())],
-                        ["hash", "uid", "s", "digest", "text"],
-                    )
+                for x in some:
+                    part = t[x["s"] : x["e"] + length]
+                    out.append((x["hash"], uid, x["s"], xxhash.xxh3_128_digest(part), part))
+                    if len(out) >= 10_000:
+                        yield _pieces(out)
+                        out = []
+        if out:
+            yield _pieces(out)
 
     return run
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for spans in batch.column(1).to_pylist():
+            merged: list[dict] = []
+            for a, b in sorted((x["a"], x["b"]) for x in spans):
+                if merged and a <= merged[-1]["b"]:
+                    merged[-1]["b"] = max(merged[-1]["b"], b)
+                else:
+                    merged.append({"a": a, "b": b})
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], ["uid", "spans"])
+
+
 def _shard(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
@@ -260,7 +311,7 @@ def _packed(step):
     return run
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, shard_bytes: int = 4 << 20, block: int = 8192) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, shard_bytes: int = 1 << 20, block: int = 4096, broadcast_hashes: int = 4 << 20) -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed and n_spans instead of text.
 
     Every byte is removed that a string of ``length`` bytes covers which also
@@ -288,12 +339,16 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, sha
     classes = save(texts.groupBy("m", "size").agg(F.min("uid").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
     single = save(classes.where("copies = 1").select(F.col("cid").alias("uid")), "single")
     unique = rows.select("uid", body.alias("t")).join(small(classes.select(F.col("cid").alias("uid")), 16), "uid").select("uid", "t")
-    found = save(unique.mapInArrow(_find_anchors(length), "hash long, uid long, s long, e long"), "anchors")
+    found = unique.mapInArrow(_find_anchors(length), "hash long, uid long, s long, e long")
     twice = save(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
-    near = found.join(small(twice, 16), "hash").groupBy("uid").agg(F.collect_list(F.struct("hash", "s", "e")).alias("some"))  # at most a text's anchors
-    near = save(near, "near")
-    pieces = rows.select("uid", body.alias("t")).join(small(near, 800), "uid").select("uid", "t", "some")
-    pieces = save(pieces.mapInArrow(_cut(length), "hash long, uid long, s long, digest binary, text binary"), "pieces")
+    kinds = "hash long, uid long, s long, digest binary, text binary"
+    if twice.count() <= broadcast_hashes:
+        known = np.sort(twice.toArrow()["hash"].to_numpy())  # 8 bytes each
+        pieces = unique.mapInArrow(_find_anchors(length, docs.sparkSession.sparkContext.broadcast(known)), kinds)
+    else:  # texts meet their anchors by shuffle
+        near = found.join(twice, "hash").groupBy("uid").agg(F.collect_list(F.struct("hash", "s", "e")).alias("some"))  # at most a text's anchors
+        pieces = unique.join(near, "uid").select("uid", "t", "some").mapInArrow(_cut(length), kinds)
+    pieces = save(pieces, "pieces")
     once = pieces.groupBy("hash", "digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     once = save(once, "once")
     total = once.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -311,23 +366,20 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, sha
     gone = pieces.select("uid", "s", "digest").join(small(single, 16), "uid").join(small(hits, 160), "digest")
     gone = gone.select("uid", F.transform("spans", lambda x: F.struct((x["a"] + F.col("s")).alias("a"), (x["b"] + F.col("s")).alias("b"))).alias("spans"))
     gone = gone.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's pieces
+    gone = gone.mapInArrow(_merge_spans, "uid long, spans array<struct<a:long,b:long>>")
     copies = texts.join(small(classes.where("copies > 1").select("m", "size", "copies"), 64), ["m", "size"])
     copies = copies.select("uid", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))).alias("spans"))
     gone = save(gone.unionByName(copies), "gone")
+    spread = gone.agg(F.coalesce(F.avg(F.size("spans")), F.lit(0))).first()[0]
     others = [c for c in docs.columns if c != text]
-    out = rows.join(small(gone, 400), "uid", "left").select(*[F.col(f"row.`{c}`").alias(c) for c in others], body.alias("kept"), "spans")
+    out = rows.join(small(gone, 48 + round(24 * spread)), "uid", "left").select(*[F.col(f"row.`{c}`").alias(c) for c in others], body.alias("kept"), "spans")
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, size, lost, count = [], [], [], []
             for t, spans in zip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for x in sorted((x["a"], x["b"]) for x in spans or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append(list(x))
+                merged = [(x["a"], x["b"]) for x in spans or ()]
                 at, left = 0, []
                 for a, b in merged:
                     left.append(t[at:a])
