@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, block_pairs, blocks, components, runs, save, small
+from .common import block_pairs, blocks, components, Forest, runs, save, small, tidy
 
 #: Rows compared at once when neighbour lists are begun.
 SLICE = 256
@@ -117,7 +117,7 @@ def _descend(graph: DataFrame, vecs: DataFrame, k: int, rounds: int) -> DataFram
         near = graph.union(_best(back, k)).select(F.col("u").alias("at"), F.col("v").alias("cid"))
         near = near.union(graph.select(F.col("u").alias("at"), F.col("u").alias("cid"))).distinct()
         rows = near.join(vecs, "cid").join(bar.withColumnRenamed("u", "cid"), "cid").select("at", "cid", "v", "bar")
-        found = save(rows.repartition("at").sortWithinPartitions("at").mapInArrow(_join(k), "u long, v long, s double"), "found")
+        found = save(rows.repartition("at").sortWithinPartitions("at").mapInArrow(tidy(_join(k)), "u long, v long, s double"), "found")
         better = save(_best(graph.union(found), k), "graph")
         changed = better.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
         graph = better
@@ -142,7 +142,7 @@ def _true_links(vecs: DataFrame, threshold: float, sample: int) -> DataFrame:
                 use = own[a] != ids[b]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[b][use]), pa.array(own[a][use])], ["u", "v"])
 
-    return vecs.mapInArrow(run, "u long, v long")
+    return vecs.mapInArrow(tidy(run), "u long, v long")
 
 
 def near_vectors(
@@ -185,9 +185,9 @@ def near_vectors(
         n = vecs.count()
         graph, seed = None, 100
         for _ in range(3):
-            coded = vecs.select("cid", "v").mapInArrow(_codes(tables, seed), "table long, code long, cid long, v array<double>")
+            coded = vecs.select("cid", "v").mapInArrow(tidy(_codes(tables, seed)), "table long, code long, cid long, v array<double>")
             parts = max(1, min(-(-n * tables // (8 * SLICE)), 4096))
-            begun = coded.repartitionByRange(parts, "table", "code", "cid").sortWithinPartitions("table", "code", "cid").select("cid", "v").mapInArrow(_begin(k), "u long, v long, s double")
+            begun = coded.repartitionByRange(parts, "table", "code", "cid").sortWithinPartitions("table", "code", "cid").select("cid", "v").mapInArrow(tidy(_begin(k)), "u long, v long, s double")
             graph = save(_best(begun if graph is None else graph.union(begun), k), "graph")
             graph = _descend(graph, vecs.select("cid", "v"), k, rounds)
             groups = components(graph.where(F.col("s") >= threshold - 1e-6).select("u", "v"))
@@ -201,7 +201,7 @@ def near_vectors(
         members = groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")).join(small(sizes.withColumnRenamed("label", "grp"), 32), "grp")
         members = members.select("cid", "grp", blocks(F.col("members"), block).alias("nb")).join(vecs, "cid")
         met = block_pairs(members, "grp", "nb", "cid").select("grp", "bi", "bj", "mine", "cid", "mult", "v")
-        found = save(met.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cid").mapInArrow(_verify(threshold), "u long, v long, links long"), "links")
+        found = save(met.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cid").mapInArrow(tidy(_verify(threshold)), "u long, v long, links long"), "links")
         some = found.where("v IS NULL").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
         named = components(found.where("v IS NOT NULL").select("u", "v"))
         links = some if links is None else links.union(some)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Letters are told apart by code point modulo this (alphabets up to Cyrillic without a clash).
 SLOTS = 1023
 #: n-gram vectors that a worker keeps, one byte a dimension.
@@ -106,7 +108,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1
                 total += w[i : i + 4096] @ _profiles(dims, seed).bound(codes[i : i + 4096]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    rows = docs.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(bundle, "lang string, v array<double>")
+    rows = docs.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(tidy(bundle), "lang string, v array<double>")
     sums = rows.select("lang", F.posexplode("v").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum(F.round("x", 6)).alias("x"))
     out: dict[str, np.ndarray] = {}
     for name, pairs in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x")))).limit(max_langs + 1).collect():
@@ -146,4 +148,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 score.append(min(1.0, max(0.0, float(cos[k]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, save
+from .common import save, SPACE, tidy
 
 #: Bytes of a filter's page, the unit in which filters are merged.
 PAGE = 8192
@@ -82,7 +82,7 @@ def _merge(group: pa.Table) -> pa.Table:
 
 def twice_seen(texts: DataFrame, bits: int, min_chars: int, tasks: int) -> bytes:
     """The merged second filter over the one column of texts: bits / 8 bytes."""
-    pages = texts.coalesce(tasks).mapInArrow(_filters(bits, min_chars), "page long, once binary, twice binary")
+    pages = texts.coalesce(tasks).mapInArrow(tidy(_filters(bits, min_chars)), "page long, once binary, twice binary")
     merged = save(pages.groupBy("page").applyInArrow(_merge, "page long, twice binary"), "filter")
     out = np.zeros(bits // 8, np.uint8)
     for page, data in merged.toLocalIterator():  # bits / 8 bytes in all, whatever the corpus
@@ -112,7 +112,7 @@ def shared_keys(docs: DataFrame, text: str, min_docs: int, min_chars: int, max_b
                 for i in range(0, len(hit), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit[i : i + (1 << 16)]], pa.binary())], ["key"])
 
-    found = texts.mapInArrow(suspects, "key binary").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = texts.mapInArrow(tidy(suspects), "key binary").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return save(found.where(F.col("n") >= min_docs), "keys")
 
 
@@ -172,7 +172,7 @@ def dedup_lines(
             arrays[column] = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [f.name for f in schema])
 
-    return docs.withColumn(text, F.col(text).cast("binary")).mapInArrow(drop, schema)
+    return docs.withColumn(text, F.col(text).cast("binary")).mapInArrow(tidy(drop), schema)
 
 
 def _by_join(docs: DataFrame, text: str, keys: DataFrame, keep_first: bool) -> DataFrame:
@@ -187,7 +187,7 @@ def _by_join(docs: DataFrame, text: str, keys: DataFrame, keep_first: bool) -> D
                     part = ks[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([uid] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.binary())], ["uid", "pos", "key"])
 
-    split = numbered.select("uid", F.col(f"row.`{text}`").cast("binary").alias("t")).mapInArrow(lines, "uid long, pos int, key binary")
+    split = numbered.select("uid", F.col(f"row.`{text}`").cast("binary").alias("t")).mapInArrow(tidy(lines), "uid long, pos int, key binary")
     hits = split.join(keys.select("key"), "key")
     if keep_first:
         first = split.join(keys.select("key"), "key").groupBy("key").agg(F.min(F.struct("uid", "pos")).alias("f"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, block_pairs, blocks, components, runs, save, small
+from .common import block_pairs, blocks, components, Forest, runs, save, small, tidy
 
 PERMS, BANDS = 128, 32
 #: Hashes after which a pair is judged again.
@@ -244,7 +244,7 @@ def near_duplicates(
     docs = docs.drop("class_id", "n_links", "kept")
     rows = save(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "docs")
     body = F.col(f"row.`{text}`").cast("binary")
-    feats = save(rows.select("uid", body.alias("t")).mapInArrow(_features(n), "uid long, n long, set binary, sig binary, bands array<long>"), "features")
+    feats = save(rows.select("uid", body.alias("t")).mapInArrow(tidy(_features(n)), "uid long, n long, set binary, sig binary, bands array<long>"), "features")
     classes = feats.where("n > 0").groupBy("set").agg(F.min("uid").alias("cid"), F.count(F.lit(1)).alias("mult"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = save(classes, "classes")
     keys = classes.select(F.explode("bands").alias("key"), "cid")
@@ -253,7 +253,7 @@ def near_duplicates(
     inside = inside.join(small(classes.select("cid", "sig"), 200), "cid")
     met = block_pairs(inside, "key", "nb", "cid").select("key", "bi", "bj", "mine", "cid", "sig")
     met = met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cid")
-    edges = met.mapInArrow(_link(least), "u long, v long")
+    edges = met.mapInArrow(tidy(_link(least)), "u long, v long")
     groups = components(edges)
 
     sized = save(
@@ -268,7 +268,7 @@ def near_duplicates(
     texts = rows.select("uid", body.alias("t")).join(small(sized, 48), "uid").withColumnRenamed("uid", "cid")
     met = block_pairs(texts, "grp", "nb", "cid").select("grp", "bi", "bj", "mine", "cid", "mult", "t")
     met = met.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cid")
-    found = save(met.mapInArrow(_verify(n, threshold, least), "u long, v long, links long"), "links")
+    found = save(met.mapInArrow(tidy(_verify(n, threshold, least)), "u long, v long, links long"), "links")
     links = found.where("v IS NULL").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     labels = components(found.where("v IS NOT NULL").select("u", "v"))
 

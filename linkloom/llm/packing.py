@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import word_ids
 
 
@@ -157,10 +158,11 @@ def pack(
             if b := rows():
                 yield b
         packer.flush()
+        coder.rest()
         if b := rows():
             yield b
 
-    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, PIECES)
+    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), PIECES)
     return out.select(
         F.col("doc_key").alias(key), "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens",
         "sequence_id", "offset", "tier", "step_group",

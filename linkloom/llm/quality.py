@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE
+from .common import SPACE, tidy
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), batch.column(1), batch.column(2)], ["x", "q", "k"])
 
     chosen = docs.select(F.col(text).cast("binary").alias("t"), doc_id).join(F.broadcast(picked), doc_id)  # at most sample rows
-    rows = chosen.select("t", "q", F.xxhash64(doc_id, "t").alias("k")).mapInArrow(run, "x binary, q int, k long").orderBy("k").limit(2 * sample).collect()
+    rows = chosen.select("t", "q", F.xxhash64(doc_id, "t").alias("k")).mapInArrow(tidy(run), "x binary, q int, k long").orderBy("k").limit(2 * sample).collect()
     return fit([(np.frombuffer(r["x"], np.uint8).reshape(-1, len(NAMES)), int(r["q"])) for r in rows])
 
 
@@ -194,4 +194,4 @@ def judge(docs: DataFrame, crf: Crf, text: str = "text", min_words: int = 50, ma
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for c, t in zip(cols, COLUMNS.values(), strict=True))], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_pairs, blocks, runs, save, small
+from .common import block_pairs, blocks, runs, save, small, tidy
 
 #: Bytes that an anchor's hash takes in, a power of two.
 GRAM = 32
@@ -339,15 +339,15 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, sha
     classes = save(texts.groupBy("m", "size").agg(F.min("uid").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
     single = save(classes.where("copies = 1").select(F.col("cid").alias("uid")), "single")
     unique = rows.select("uid", body.alias("t")).join(small(classes.select(F.col("cid").alias("uid")), 16), "uid").select("uid", "t")
-    found = unique.mapInArrow(_find_anchors(length), "hash long, uid long, s long, e long")
+    found = unique.mapInArrow(tidy(_find_anchors(length)), "hash long, uid long, s long, e long")
     twice = save(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
     kinds = "hash long, uid long, s long, digest binary, text binary"
     if twice.count() <= broadcast_hashes:
         known = np.sort(twice.toArrow()["hash"].to_numpy())  # 8 bytes each
-        pieces = unique.mapInArrow(_find_anchors(length, docs.sparkSession.sparkContext.broadcast(known)), kinds)
+        pieces = unique.mapInArrow(tidy(_find_anchors(length, docs.sparkSession.sparkContext.broadcast(known))), kinds)
     else:  # texts meet their anchors by shuffle
         near = found.join(twice, "hash").groupBy("uid").agg(F.collect_list(F.struct("hash", "s", "e")).alias("some"))  # at most a text's anchors
-        pieces = unique.join(near, "uid").select("uid", "t", "some").mapInArrow(_cut(length), kinds)
+        pieces = unique.join(near, "uid").select("uid", "t", "some").mapInArrow(tidy(_cut(length)), kinds)
     pieces = save(pieces, "pieces")
     once = pieces.groupBy("hash", "digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     once = save(once, "once")
@@ -359,14 +359,14 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, sha
     keyed = keyed.select(shard.cast("long").alias("shard"), blocks(F.coalesce("n", F.lit(1)), block).alias("nb"), "digest", "text")
     met = block_pairs(keyed, "shard", "nb", "digest").select("shard", "bi", "bj", "mine", "digest", "text")
     met = met.repartition("shard", "bi", "bj").sortWithinPartitions("shard", "bi", "bj")
-    spans = met.mapInArrow(_packed(_shard(length)), "digest binary, spans array<struct<a:long,b:long>>")
+    spans = met.mapInArrow(tidy(_packed(_shard(length))), "digest binary, spans array<struct<a:long,b:long>>")
     spans = spans.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a piece's spans by its blocks
     again = once.where("copies > 1").select("digest", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b"))).alias("spans"))
     hits = save(spans.join(again.select("digest"), "digest", "left_anti").unionByName(again), "spans")
     gone = pieces.select("uid", "s", "digest").join(small(single, 16), "uid").join(small(hits, 160), "digest")
     gone = gone.select("uid", F.transform("spans", lambda x: F.struct((x["a"] + F.col("s")).alias("a"), (x["b"] + F.col("s")).alias("b"))).alias("spans"))
     gone = gone.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's pieces
-    gone = gone.mapInArrow(_merge_spans, "uid long, spans array<struct<a:long,b:long>>")
+    gone = gone.mapInArrow(tidy(_merge_spans), "uid long, spans array<struct<a:long,b:long>>")
     copies = texts.join(small(classes.where("copies > 1").select("m", "size", "copies"), 64), ["m", "size"])
     copies = copies.select("uid", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))).alias("spans"))
     gone = save(gone.unionByName(copies), "gone")
@@ -391,4 +391,4 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 200, sha
                 count.append(len(merged))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(count, pa.int64())], [f.name for f in schema])
 
-    return out.mapInArrow(remove, schema)
+    return out.mapInArrow(tidy(remove), schema)

@@ -25,7 +25,7 @@ class WordIds:
     text. Where the file's rules never let a token span white space, words are
     looked up in a bounded cache and only unseen words are encoded."""
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,6 +70,10 @@ class WordIds:
         for w, stem in stems.items():
             cache[w] = cache[stem] + self.marks[w[-1]]
 
+    def rest(self) -> None:
+        """At the end of a task: only words of the young generation stay."""
+        self.old = {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
