@@ -88,7 +88,7 @@ def reachable(servers: DataFrame, results: DataFrame, threshold_ms: float | None
 
 def result_lines(results: DataFrame) -> DataFrame:
     s = F.col("status")
-    ok = F.concat(F.lit(" ok "), F.format_number(s["latency_ms"], "0.0"), F.lit("ms"))
+    ok = F.concat(F.lit(" ok "), F.format_string("%.1f", s["latency_ms"]), F.lit("ms"))
     text = F.when(s["type"] == "Done", ok).otherwise(F.concat(F.lit(" fail "), F.coalesce(s["error"], F.lit(""))))
     return results.select(F.concat("host", F.lit(":"), "port", text).alias("line"))
 

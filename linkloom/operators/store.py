@@ -21,6 +21,21 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of whole commits under path, oldest first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return sorted(n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/servers/_SUCCESS")))
+
+
+def source_type(url: Column) -> Column:
+    return F.when(url.rlike("^https?://t\\.me/"), "telegram").when(url.rlike("^https?://"), "subscription").otherwise("other")
+
+
 def source_rows(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.where(F.col(url).isNotNull()).select(stable64(F.col(url)).alias("id"), F.col(url).alias("url")).dropDuplicates(["id"])
 
@@ -125,6 +140,12 @@ def unparseable(parsed: DataFrame) -> DataFrame:
     return rows.where(~F.col("error").contains("promotion") & ~F.col("error").contains("private/reserved host"))
 
 
+def dead_letters(dead: DataFrame) -> DataFrame:
+    """The six fields of the log of links that were not parsed."""
+    scheme = F.lower(F.substring_index("raw_url", "://", 1))
+    return dead.select("raw_url", scheme.alias("scheme"), "error", stable64(F.col("url")).alias("source_id"), source_type(F.col("url")).alias("source_type"), F.col("seen_ts").alias("timestamp"))
+
+
 def scheme_totals(servers: DataFrame, ok: Column) -> DataFrame:
     """Counts by scheme and in all, in one pass."""
     return servers.rollup("schema").agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_fail"), F.count(F.lit(1)).alias("n_total"))

@@ -36,6 +36,7 @@ class Pipeline:
     def __init__(self, spark: SparkSession, lists: tuple | None = None):
         self.spark, self.lists = spark, lists
         self.sources, self.servers, self.sightings = (store.empty(spark, s) for s in (store.SOURCES, store.SERVERS, store.SIGHTINGS))
+        self.fresh = self.sightings
         self.pending: list[DataFrame] = []
         self.dead: DataFrame | None = None
 
@@ -48,6 +49,11 @@ class Pipeline:
         self.pending.append(links.select("url", "raw_url", "pos", "seen_ts").withColumn("batch", F.concat(F.lit(f"{len(self.pending):08d}-"), "url")))
         return self
 
+    def add_messages(self, messages: DataFrame) -> Pipeline:
+        """messages: url, msg_id, ts, raw_urls; each message is seen at its own time."""
+        rows = messages.select("url", F.col("ts").alias("seen_ts"), "msg_id", F.posexplode("raw_urls").alias("at", "raw_url"))
+        return self.add_links(rows.withColumn("pos", F.col("msg_id") * 4096 + F.col("at")))
+
     def run(self) -> Pipeline:
         from functools import reduce
 
@@ -59,9 +65,29 @@ class Pipeline:
         start = self.sightings.agg(F.max("id")).first()[0] or 0
         arrivals, self.dead = arrivals_of(links, self.lists, start)
         self.servers = store.merge_servers(self.servers, arrivals)
-        self.sightings = self.sightings.unionByName(store.sightings_of(arrivals))
+        new = store.sightings_of(arrivals)
+        self.sightings, self.fresh = self.sightings.unionByName(new), self.fresh.unionByName(new)
         return self
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, lists: tuple | None = None) -> Pipeline:
+        """The tables that commits left under path; none yet: empty ones."""
+        p = cls(spark, lists)
+        done = store.versions(spark, path)
+        if done:
+            p.sources, p.servers = (spark.read.parquet(f"{path}/{done[-1]}/{n}") for n in ("sources", "servers"))
+            p.sightings = spark.read.schema(store.SIGHTINGS).parquet(*[f"{path}/{v}/sightings" for v in done])
+        return p
+
+    def commit(self, path: str) -> None:
+        """Adds a version: only sightings since the last commit are written, and
+        servers come last, so a version cut short is never read."""
+        done = store.versions(self.spark, path)
+        at = f"{path}/v{int(done[-1][1:]) + 1 if done else 0:012d}"
+        for name, table in (("sources", self.sources), ("sightings", self.fresh), ("servers", self.servers)):
+            table.write.mode("overwrite").parquet(f"{at}/{name}")
+        self.fresh = store.empty(self.spark, store.SIGHTINGS)
+
     def save(self, path: str) -> None:
         """Parquet tables in a new folder; swap it in when whole."""
         for name in ("sources", "servers", "sightings"):

@@ -113,3 +113,64 @@ def test_ping(spark):
 
     got = {r.host: r.status for r in ping.ping(rows, probe).collect()}
     assert got["h.example"].type == "Done" and got["h.example"].latency_ms == 5.0 and got["down.example"].type == "Fail"
+
+
+PAGE = """<div class="tgme_widget_message" data-post="chan/{}"><a class="tgme_widget_message_owner_name" href="https://t.me/chan">c</a>
+<div class="tgme_widget_message_text">trojan://a@h{}.example.com:443#m</div><time datetime="2024-01-0{}T00:00:00+00:00"></time></div>"""
+
+
+def test_cli_store(spark, tmp_path, capsys):
+    """Collecting again adds to the store; channels, the log, lists, probes and pulls."""
+    db, log = ["--db", str(tmp_path / "db")], ["--unparseable-log", str(tmp_path / "log")]
+    (tmp_path / "a.txt").write_bytes(LINKS)
+    (tmp_path / "c.yaml").write_text("tgchannel: ['@chan']\nsubscriptions: ['https://s.example/x']\n")
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if "t.me" in url:
+            return PAGE.format(1, 7, 5).encode()
+        return b"ss://YWVzOnB3@h9.example.com:80#nine\n"
+
+    cli.main([*db, *log, "local", str(tmp_path / "a.txt")])
+    cli.main([*db, "local", str(tmp_path / "a.txt")])
+    p = Pipeline.load(spark, str(tmp_path / "db"))
+    assert (p.servers.count(), p.sightings.count(), p.sources.count()) == (2, 4, 1)
+    assert len({r.id for r in p.sightings.collect()}) == 4
+    got = [(r.scheme, r.source_type) for r in spark.read.json(str(tmp_path / "log")).collect()]
+    assert got == [("warp", "other")] or got == []
+
+    cli.main([*db, "config", str(tmp_path / "c.yaml"), "--last", "9000d"], fetch=fetch)
+    p = Pipeline.load(spark, str(tmp_path / "db"))
+    assert {r.host for r in p.servers.collect()} == {f"h{i}.example.com" for i in (1, 2, 7, 9)}
+    assert p.servers.where("host = 'h7.example.com'").first().first_seen_ts == 1704412800
+
+    cli.main([*db, "emit", "--pull", "sub"], fetch=fetch)
+    assert Pipeline.load(spark, str(tmp_path / "db")).sightings.count() == 9
+
+    for name, text in (("sni", "H1.example.com"), ("ip", "1.2.3.4"), ("cidr", "10.0.0.0/8")):
+        (tmp_path / name).write_text(text)
+    lists = [x for n in ("sni", "ip", "cidr") for x in (f"--whitelist-{n}", str(tmp_path / n))]
+    capsys.readouterr()
+    cli.main([*db, *lists, "emit", "--recheck-whitelist", "--wl", "1"])
+    out = capsys.readouterr().out
+    assert "h1.example.com" in out and "h2.example.com" not in out
+
+
+def test_cli_ping(spark, tmp_path, capsys):
+    db = ["--db", str(tmp_path / "db")]
+    (tmp_path / "a.txt").write_bytes(LINKS)
+
+    def probe(host, port, kind):
+        if host.startswith("h2"):
+            raise OSError("refused")
+        return 5.0
+
+    cli.main([*db, "local", str(tmp_path / "a.txt")])
+    cli.main([*db, "ping"], probe=probe)
+    out = capsys.readouterr().out
+    assert "h1.example.com:443 ok 5.0ms" in out and "1 ok, 1 fail, 2 total" in out
+    cli.main([*db, "emit", "--ping", "ok"], probe=probe)
+    out = capsys.readouterr().out
+    assert "h1.example.com" in out and "h2.example.com" not in out
+    assert Pipeline.load(spark, str(tmp_path / "db")).servers.where("ping IS NOT NULL AND ping_ts > 0").count() == 2
