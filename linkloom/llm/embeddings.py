@@ -103,6 +103,18 @@ def _verify(threshold: float):
     return run
 
 
+def _compare(members: DataFrame, threshold: float) -> DataFrame:
+    """What _verify finds in all pairs of the same grp, in nb blocks."""
+    met = block_pairs(members, "grp", "nb", "cid").select("grp", "bi", "bj", "mine", "cid", "mult", "v")
+    return met.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cid").mapInArrow(tidy(_verify(threshold)), "u long, v long, links long")
+
+
+def _exact_edges(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Edges that join all linked vecs into their groups, from all pairs."""
+    whole = vecs.select("cid", F.lit(0).cast("long").alias("grp"), blocks(F.lit(vecs.count()), block).alias("nb"), "mult", "v")
+    return save(_compare(whole, threshold).where("v IS NOT NULL").select("u", "v"), "exact")
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """The k most similar neighbours of each u."""
     once = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
@@ -164,9 +176,12 @@ def near_vectors(
     joining the neighbours of each node, sent with the similarity they have to
     beat, until under 1 % of the lists change. Links of threshold or more make
     groups. A list whose k neighbours all are links is saturated: there may be
-    more. So in each group every pair is computed in double precision, in
-    blocks of which every two meet: the lists grow to the whole group, with no
-    cap. An audit compares ``audit`` sampled vectors with all others by brute
+    more, in its group and outside. So the lists of saturated vectors are
+    enlarged at once to all other saturated vectors (of a link outside its
+    lists, both ends are saturated), which joins groups; then in each group
+    every pair is computed in double precision. Both go in blocks of which
+    every two meet, with no cap; the cost is the square of the number of
+    saturated vectors and of a group. An audit compares ``audit`` sampled vectors with all others by brute
     force; below the wanted recall the search runs again with other tables.
 
     Vectors that are null, empty, zero or hold nulls or non-finite components
@@ -190,7 +205,10 @@ def near_vectors(
             begun = coded.repartitionByRange(parts, "table", "code", "cid").sortWithinPartitions("table", "code", "cid").select("cid", "v").mapInArrow(tidy(_begin(k)), "u long, v long, s double")
             graph = save(_best(begun if graph is None else graph.union(begun), k), "graph")
             graph = _descend(graph, vecs.select("cid", "v"), k, rounds)
-            groups = components(graph.where(F.col("s") >= threshold - 1e-6).select("u", "v"))
+            near = graph.where(F.col("s") >= threshold - 1e-6)
+            full = save(near.groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("cid")), "full")
+            more = _exact_edges(save(vecs.join(small(full, 16), "cid"), "saturated"), threshold, block)
+            groups = components(near.select("u", "v").union(more))
             true = save(_true_links(vecs.select("cid", "v"), threshold, audit), "audit")
             a, b = groups.select(F.col("node").alias("u"), F.col("label").alias("gu")), groups.select(F.col("node").alias("v"), F.col("label").alias("gv"))
             have = true.join(a, "u", "left").join(b, "v", "left").agg(F.count(F.lit(1)), F.count_if(F.col("gu") == F.col("gv"))).first()
@@ -200,8 +218,7 @@ def near_vectors(
         sizes = save(groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
         members = groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")).join(small(sizes.withColumnRenamed("label", "grp"), 32), "grp")
         members = members.select("cid", "grp", blocks(F.col("members"), block).alias("nb")).join(vecs, "cid")
-        met = block_pairs(members, "grp", "nb", "cid").select("grp", "bi", "bj", "mine", "cid", "mult", "v")
-        found = save(met.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cid").mapInArrow(tidy(_verify(threshold)), "u long, v long, links long"), "links")
+        found = save(_compare(members, threshold), "links")
         some = found.where("v IS NULL").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
         named = components(found.where("v IS NOT NULL").select("u", "v"))
         links = some if links is None else links.union(some)

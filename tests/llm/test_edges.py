@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from linkloom.llm import language, quality
@@ -90,3 +91,14 @@ def test_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(d.drop("n_links")).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 8: (2, 1, False)} | {k: (0, k, True) for k in (3, 4, 5, 6, 7, 9, 10)}
     assert near_vectors(d.where("false")).collect() == []
+
+
+def test_saturated_clusters(spark):
+    """Two clusters of 15 and 14 vectors, 0.96 apart: every list of 10 is full of its own cluster."""
+    rows = [(i, [1.0, 0.001 * i, 0.0]) for i in range(15)] + [(15 + i, [0.96, 0.0, 0.28 + 0.001 * i]) for i in range(14)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    links = ((unit @ unit.T) >= 0.95).sum(1) - 1
+    assert links.min() > 14  # links lead across
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(d).collect()}
+    assert got == {i: (int(links[i]), 0, i == 0) for i, _ in rows}
