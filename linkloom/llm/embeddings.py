@@ -157,6 +157,17 @@ def _true_links(vecs: DataFrame, threshold: float, sample: int) -> DataFrame:
     return vecs.mapInArrow(tidy(run), "u long, v long")
 
 
+def _recall(true: DataFrame, groups: DataFrame, k: int) -> float:
+    """The mean share, by sampled vector, of its true links that lie in its
+    group; the least of that over all vectors, and over those with at most k
+    links or with more."""
+    a, b = groups.select(F.col("node").alias("u"), F.col("label").alias("gu")), groups.select(F.col("node").alias("v"), F.col("label").alias("gv"))
+    each = true.join(a, "u", "left").join(b, "v", "left").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gu") == F.col("gv")).alias("got"))
+    share = F.col("got") / F.col("n")
+    means = each.agg(F.avg(share), F.avg(F.when(F.col("n") <= k, share)), F.avg(F.when(F.col("n") > k, share))).first()
+    return min((x for x in means if x is not None), default=1.0)
+
+
 def near_vectors(
     rows: DataFrame,
     key: str = "vec_id",
@@ -182,7 +193,9 @@ def near_vectors(
     every pair is computed in double precision. Both go in blocks of which
     every two meet, with no cap; the cost is the square of the number of
     saturated vectors and of a group. An audit compares ``audit`` sampled vectors with all others by brute
-    force; below the wanted recall the search runs again with other tables.
+    force. Below the wanted recall, as a mean over the vectors and over those
+    of few and of many links apart, the search goes on with lists and tables
+    of twice the number; after three tries, all pairs are compared.
 
     Vectors that are null, empty, zero or hold nulls or non-finite components
     link with nothing; vectors of different length don't link. component_id is
@@ -198,23 +211,23 @@ def near_vectors(
     for dim in sorted(r[0] for r in reps.groupBy("dim").count().collect()):  # lengths of vectors: a handful
         vecs = reps.where(F.col("dim") == dim).select("cid", "v", "mult")
         n = vecs.count()
-        graph, seed = None, 100
+        true = save(_true_links(vecs.select("cid", "v"), threshold, audit), "audit")
+        graph, seed, width, planes = None, 100, k, tables
         for _ in range(3):
-            coded = vecs.select("cid", "v").mapInArrow(tidy(_codes(tables, seed)), "table long, code long, cid long, v array<double>")
-            parts = max(1, min(-(-n * tables // (8 * SLICE)), 4096))
-            begun = coded.repartitionByRange(parts, "table", "code", "cid").sortWithinPartitions("table", "code", "cid").select("cid", "v").mapInArrow(tidy(_begin(k)), "u long, v long, s double")
-            graph = save(_best(begun if graph is None else graph.union(begun), k), "graph")
-            graph = _descend(graph, vecs.select("cid", "v"), k, rounds)
+            coded = vecs.select("cid", "v").mapInArrow(tidy(_codes(planes, seed)), "table long, code long, cid long, v array<double>")
+            parts = max(1, min(-(-n * planes // (8 * SLICE)), 4096))
+            begun = coded.repartitionByRange(parts, "table", "code", "cid").sortWithinPartitions("table", "code", "cid").select("cid", "v").mapInArrow(tidy(_begin(width)), "u long, v long, s double")
+            graph = save(_best(begun if graph is None else graph.union(begun), width), "graph")
+            graph = _descend(graph, vecs.select("cid", "v"), width, rounds)
             near = graph.where(F.col("s") >= threshold - 1e-6)
-            full = save(near.groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("cid")), "full")
+            full = save(near.groupBy("u").count().where(F.col("count") >= width).select(F.col("u").alias("cid")), "full")
             more = _exact_edges(save(vecs.join(small(full, 16), "cid"), "saturated"), threshold, block)
             groups = components(near.select("u", "v").union(more))
-            true = save(_true_links(vecs.select("cid", "v"), threshold, audit), "audit")
-            a, b = groups.select(F.col("node").alias("u"), F.col("label").alias("gu")), groups.select(F.col("node").alias("v"), F.col("label").alias("gv"))
-            have = true.join(a, "u", "left").join(b, "v", "left").agg(F.count(F.lit(1)), F.count_if(F.col("gu") == F.col("gv"))).first()
-            if have[1] >= wanted * have[0]:
+            if _recall(true, groups, k) >= wanted:
                 break
-            seed += tables
+            seed, width, planes = seed + planes, 2 * width, 2 * planes
+        else:  # the search misses links here: all pairs
+            groups = components(_exact_edges(vecs, threshold, block))
         sizes = save(groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
         members = groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")).join(small(sizes.withColumnRenamed("label", "grp"), 32), "grp")
         members = members.select("cid", "grp", blocks(F.col("members"), block).alias("nb")).join(vecs, "cid")

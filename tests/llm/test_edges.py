@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from linkloom.llm import language, quality
+from linkloom.llm import embeddings, language, quality
 from linkloom.llm.embeddings import near_vectors
 from linkloom.llm.licenses import scan
 from linkloom.llm.line_dedup import dedup_lines
@@ -102,3 +102,19 @@ def test_saturated_clusters(spark):
     assert links.min() > 14  # links lead across
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(d).collect()}
     assert got == {i: (int(links[i]), 0, i == 0) for i, _ in rows}
+
+
+def test_audit_by_vector(spark):
+    """A large group that is found does not hide small ones that are missed."""
+    true = [(i, j) for i in range(40) for j in range(40) if i != j] + [(100, 101), (101, 100), (200, 201), (201, 200)]
+    groups = spark.createDataFrame([(i, 0) for i in range(40)], "node long, label long")
+    recall = embeddings._recall(spark.createDataFrame(true, "u long, v long"), groups, 10)
+    assert recall == 0.0 and len(true) * 0.98 <= 40 * 39
+
+
+def test_missed_links(spark, monkeypatch):
+    """A search that finds nothing ends in the comparison of all pairs."""
+    monkeypatch.setattr(embeddings, "_descend", lambda graph, *_: graph.limit(0))
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 1.0]), (5, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(d).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
