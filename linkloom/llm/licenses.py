@@ -96,25 +96,28 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     base = F.coalesce(F.concat(*[places(p) for p in BASE]), F.array().cast("array<struct<p:bigint,label:string>>"))
     files = found.withColumn("base", base)
 
-    n = found.count()
     frequency = found.where("hits IS NOT NULL").select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w")).groupBy("w").count().collect()  # at most the vocabulary
-    idf = dict.fromkeys(vocab, 0) | {r["w"]: r["count"] for r in frequency}
-    ranks = F.create_map(*[x for w in vocab for x in (F.lit(w), F.lit(float(idf[w] + 1) / (n + 1)))])
-    best = F.transform(F.slice(F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda x: x["w"])), lambda w: F.struct(F.element_at(ranks, w).alias("df"), w.alias("w")))), 1, top), lambda x: x["w"])
-    looked = found.where("hits IS NOT NULL").withColumn("best", best).select("uid", F.explode(F.filter("hits", lambda x: F.array_contains(F.col("best"), x["w"]))).alias("h"))
-
+    df = dict.fromkeys(vocab, 0) | {r["w"]: r["count"] for r in frequency}
     spark = docs.sparkSession
     postings, shapes = [], []
     for k, t in enumerate(templates):
         parts = t.text.split()
         index = {w for w in parts if w not in COMMON}
-        postings += [(w, k, i) for i, w in enumerate(parts) if w in index]
         keys = []
         for phrase in t.key:
             p = phrase.split()
             i = next(i for i in range(len(parts)) if parts[i : i + len(p)] == p)
             keys.append((i, p))
+        at = {j for i, p in keys for j in range(i, i + len(p)) if parts[j] in index}
+        rare = sorted({parts[j] for j in at}, key=lambda w: (df[w], w))
+        if len(rare) < min_votes:
+            at, rare = {i for i, w in enumerate(parts) if w in index}, sorted(index)
+        else:
+            rare = rare[: max(top, min_votes)]
+        postings += [(parts[j], k, j) for j in sorted(at) if parts[j] in rare]
         shapes.append((k, t.label, parts, keys, min(min_votes, len(index))))
+    used = F.filter("hits", lambda x: x["w"].isin(sorted({w for w, _, _ in postings})))
+    looked = found.where("hits IS NOT NULL").select("uid", F.explode(used).alias("h"))
     post = F.broadcast(spark.createDataFrame(postings, "w string, k int, tpos int"))  # the templates: a fixed list
     shape = F.broadcast(spark.createDataFrame(shapes, "k int, label string, parts array<string>, keys array<struct<at:int,phrase:array<string>>>, least int"))
     votes = looked.select("uid", "h.w", "h.p").join(post, "w").groupBy("uid", "k", (F.col("p") - F.col("tpos")).alias("off")).agg(F.count_distinct("w").alias("votes"))

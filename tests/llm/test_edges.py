@@ -7,7 +7,7 @@ import pytest
 
 from linkloom.llm import embeddings, language, quality
 from linkloom.llm.embeddings import near_vectors
-from linkloom.llm.licenses import scan
+from linkloom.llm.licenses import TEMPLATES, scan
 from linkloom.llm.line_dedup import dedup_lines
 from linkloom.llm.mixing import mix
 from linkloom.llm.ngram_join import near_duplicates
@@ -118,3 +118,13 @@ def test_missed_links(spark, monkeypatch):
     d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 1.0]), (5, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(d).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_all_notices(spark):
+    """One file that holds the notice of every template, and prose with rarer words around a common one."""
+    rare = "affero universal dedication domain unencumbered mozilla lesser sharealike noncommercial cc0"
+    rows = [(1, " filler ".join(t.text for t in TEMPLATES)), (2, f"{rare} prose distributed under the bsd license {rare}")]
+    rows += [(i, "license software public permission general gnu bsd") for i in range(3, 30)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == ",".join(sorted({t.label for t in TEMPLATES}))
+    assert (got[2].labels, got[2].score, got[3].labels) == ("bsd", 1.0, "")
