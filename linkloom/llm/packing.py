@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import save, small, tidy
 from .tokens import word_ids
 
 
 PIECES = (
     "doc_key long, start long, ids binary, doc_tokens long, sequence_id long, offset long, "
-    "tier int, step_group long"
+    "tier int, task int, rank long"
 )
 
 
@@ -26,48 +25,49 @@ class Packer:
     """Packs documents of one task. tiers: ascending context sizes, powers of
     two but for the last. Memory holds at most ``room`` tokens at a time."""
 
-    def __init__(self, tiers: tuple[int, ...], group: int, room: int, first_id: int):
-        self.tiers, self.group, self.room = tiers, group, room
+    def __init__(self, tiers: tuple[int, ...], room: int, first_id: int):
+        self.tiers, self.room = tiers, room
         self.next_id, self.held = first_id, 0
-        self.by_tier: dict[int, list[tuple]] = defaultdict(list)
+        self.left: list[tuple] = []
         self.out: list[tuple] = []
 
     def add(self, key, ids: np.ndarray) -> None:
-        """Whole windows of a long document go out at once; the rest is routed
-        to the shortest tier that holds it."""
+        """Whole windows of a long document go out at once; the rest waits."""
         top, n = self.tiers[-1], len(ids)
         cut = n - n % top
         for at in range(0, cut, top):
             self._emit(top, [(key, at, ids[at : at + top], n)])
         if cut < n:
-            self._route((key, cut, ids[cut:], n))
+            self.left.append((key, cut, ids[cut:], n))
+            self.held += n - cut
         if self.held >= self.room:
             self.flush()
 
-    def _route(self, piece: tuple) -> None:
-        size = len(piece[2])
-        self.by_tier[next(t for t in self.tiers if t >= size)].append(piece)
-        self.held += size
-
     def _emit(self, tier: int, pieces: list[tuple]) -> None:
         sid, self.next_id, at = self.next_id, self.next_id + 1, 0
         for key, start, ids, n in pieces:
             self.out.append((key, start, ids, n, sid, at, tier))
             at += len(ids)
 
-    def flush(self) -> None:
-        """Longest tier first: each window opens with the longest piece left
-        and takes from the shorter tiers what fits its gap best; the last bit
-        of a gap takes the head of a piece, whose tail goes back to its tier."""
-        left = sorted((p for ps in self.by_tier.values() for p in ps), key=lambda p: len(p[2]))
+    def _window(self, longest: int, total: int, last: bool) -> int:
+        """Size of the next window; 0 if what is left has to wait."""
+        tier = next(t for t in self.tiers if t >= longest)
+        if total >= tier:
+            return tier
+        if total >= self.tiers[0]:  # too little for the tier: its pieces are split over shorter ones
+            return max(t for t in self.tiers if t <= total)
+        return 1 << (total.bit_length() - 1) if last else 0
+
+    def flush(self, last: bool = False) -> None:
+        """Longest tier first: each window is of the shortest tier that holds
+        the longest piece left, opens with it and takes from the shorter tiers
+        what fits its gap best; the last bit of a gap takes the head of a
+        piece, whose tail goes back to its tier. Less than the shortest tier
+        stays for the next flush; the last one leaves nothing."""
+        left = sorted(self.left, key=lambda p: len(p[2]))
         sizes = [len(p[2]) for p in left]
         total = sum(sizes)
-        self.by_tier.clear()
-        self.held = 0
-        while left:
-            tier = self.tiers[-1]
-            if total < tier:  # what is left fills windows of the shorter tiers: sizes that need no padding
-                tier = 1 << (total.bit_length() - 1)
+        while left and (tier := self._window(sizes[-1], total, last)):
             gap, window = tier, []
             while gap:
                 i = bisect_right(sizes, gap) - 1
@@ -87,10 +87,10 @@ class Packer:
                     break
             total -= tier - gap
             self._emit(tier, window)
+        self.left, self.held = left, total
 
     def take(self) -> list[tuple]:
-        """Rows so far. A step group holds the same number of tokens whatever
-        its tier: group * top tier / tier sequences."""
+        """Rows so far."""
         rows, self.out = self.out, []
         return rows
 
@@ -108,13 +108,18 @@ def pack(
     """One row for each piece: key, start, ids (little-endian 32-bit), length,
     doc_tokens, sequence_id, offset, tier, step_group.
 
-    Every task packs the documents it reads, so nothing is shuffled: full
-    windows of the top tier are cut from long documents, other pieces are
-    routed to the shortest tier that holds them and packed longest first, with
-    gaps filled from the shorter tiers. What is left at the end of a task makes
-    sequences of power-of-two length, so nothing is padded. Memory in a task
-    is ``room`` tokens and one document. A step group is a run of sequences of
-    one task and tier that together hold at most step_sequences * top tokens.
+    Every task packs the documents it reads, so no text is shuffled: full
+    windows of the top tier are cut from long documents, other pieces open
+    windows of the shortest tier that holds them, longest first, with gaps
+    filled from the shorter tiers. What is left at the end of a task, less
+    than the shortest tier, makes sequences of power-of-two length, whose tier
+    is that length, so nothing is padded. Memory in a task is ``room`` tokens
+    and one document.
+
+    A step group holds sequences of one tier, of all tasks, that together have
+    at most step_sequences * top tokens. The pieces are written once to count
+    them; each tier has as few groups as hold its sequences, and their sizes
+    differ by one sequence at most.
 
     Null text is the empty text: the end token alone. Null and repeated keys
     are packed like others. The file of the tokenizer is on every machine at
@@ -129,23 +134,23 @@ def pack(
         coder = word_ids(tokenizer_file)
         end = np.asarray([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
-        packer = Packer(tiers, step_sequences, room, part << 36)
+        packer = Packer(tiers, room, part << 36)
         used: dict[int, tuple[int, int]] = {}
 
         def rows() -> pa.RecordBatch | None:
             got = packer.take()
             if not got:
                 return None
-            groups = []
+            ranks = []
             for *_, sid, _, tier in got:
                 s = sid - (part << 36)
                 if tier not in used or used[tier][0] != s:
                     used[tier] = (s, used.get(tier, (0, -1))[1] + 1)
-                groups.append((part << 36) + ((used[tier][1] * tier) // (step_sequences * top)) * 64 + tier.bit_length())
+                ranks.append(used[tier][1])
             cols = list(zip(*got, strict=True))
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([x.tobytes() for x in cols[2]], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int32()), pa.array(groups, pa.int64())],
-                ["doc_key", "start", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([x.tobytes() for x in cols[2]], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int32()), pa.array([part] * len(got), pa.int32()), pa.array(ranks, pa.int64())],
+                ["doc_key", "start", "ids", "doc_tokens", "sequence_id", "offset", "tier", "task", "rank"],
             )
 
         for batch in batches:
@@ -157,12 +162,21 @@ def pack(
                     yield b
             if b := rows():
                 yield b
-        packer.flush()
+        packer.flush(last=True)
         coder.rest()
         if b := rows():
             yield b
 
     out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), PIECES)
+    out = save(out, "pieces")
+    each = out.where("offset = 0").groupBy("task", "tier").count()
+    whole = Window.partitionBy("tier")
+    before = F.coalesce(F.sum("count").over(whole.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = F.greatest(F.lit(1), F.floor(step_sequences * top / F.col("tier")))
+    each = each.select("task", "tier", before.alias("before"), F.sum("count").over(whole).alias("n"))
+    each = save(each.withColumn("groups", F.ceil(F.col("n") / most)), "tiers")
+    out = out.join(small(each, 40), ["task", "tier"])
+    out = out.withColumn("step_group", (F.floor((F.col("before") + F.col("rank")) * F.col("groups") / F.col("n")) * (top + 1) + F.col("tier")).cast("long"))
     return out.select(
         F.col("doc_key").alias(key), "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens",
         "sequence_id", "offset", "tier", "step_group",

@@ -11,7 +11,7 @@ from linkloom.llm.licenses import TEMPLATES, scan
 from linkloom.llm.line_dedup import dedup_lines
 from linkloom.llm.mixing import mix
 from linkloom.llm.ngram_join import near_duplicates
-from linkloom.llm.packing import pack
+from linkloom.llm.packing import Packer, pack
 from linkloom.llm.queries import tokenizer_path
 from linkloom.llm.sharding import shard
 from linkloom.llm.suffix_dedup import dedup_substrings
@@ -128,3 +128,37 @@ def test_all_notices(spark):
     got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == ",".join(sorted({t.label for t in TEMPLATES}))
     assert (got[2].labels, got[2].score, got[3].labels) == ("bsd", 1.0, "")
+
+
+def windows(packer):
+    out = {}
+    for _, start, ids, n, sid, _, tier in packer.take():
+        out.setdefault((sid, tier), []).append((start, len(ids), n))
+    return out
+
+
+def test_tiers(spark):
+    """Pieces stay in their tier, or fill gaps of longer ones; only the rest of a task is shorter than all tiers."""
+    tiers = (256, 512, 1024, 2048)
+    packer = Packer(tiers, room=20000, first_id=0)
+    for i in range(2000):
+        packer.add(i, np.zeros((200, 230, 180, 240, 1, 400, 450, 480, 700, 1500)[i * 7 % 10], "<u4"))
+    packer.flush(last=True)
+    got = windows(packer)
+    assert all(sum(n for _, n, _ in ps) == tier for (_, tier), ps in got.items())
+    used = [tier for _, tier in got]
+    assert all(used.count(t) > 20 for t in tiers) and sum(t not in tiers for t in used) <= 8
+    whole = [(tier, max(n for _, n, _ in ps)) for (_, tier), ps in got.items() if tier > 256]
+    assert sum(2 * n <= tier for tier, n in whole) <= 0.05 * len(whole)  # opened by a piece of the tier itself
+
+
+def test_step_groups(docs):
+    """Over all tasks, the step groups of a tier are as few as can be and alike in size."""
+    rows = pack(docs.repartition(4), tokenizer_path(), step_sequences=8).select("sequence_id", "tier", "step_group").distinct().collect()
+    by_tier = {}
+    for r in rows:
+        by_tier.setdefault(r.tier, []).append(r.step_group)
+    for tier, groups in by_tier.items():
+        sizes = [groups.count(g) for g in set(groups)]
+        assert max(sizes) - min(sizes) <= 1 and len(sizes) == -(-len(groups) * tier // (8 * 2048))
+    assert len({r.step_group for r in rows}) == sum(len(set(g)) for g in by_tier.values())
