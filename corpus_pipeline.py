@@ -20,11 +20,13 @@ from linkloom.llm.queries import tokenizer_path
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that no learned profile
-    resembles (cosine under 0.03, where unrelated random vectors lie)."""
+    resembles: score under the floor that the learned documents give."""
     small_batches(spark)
-    profiles = language.learn(docs.where(~language.held_out("doc_id")))
+    taught = docs.where(~language.held_out("doc_id"))
+    profiles = language.learn(taught)
+    floor = language.floor(taught, profiles)
     judged = language.predict(docs, profiles)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.03)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= floor)).select(*docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

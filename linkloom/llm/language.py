@@ -149,3 +149,23 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema])
 
     return docs.mapInArrow(tidy(run), schema)
+
+
+def floor(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang", low: float = 0.01, least: int = 20) -> Column:
+    """The score under which a text is in no learned language, by its length.
+
+    Half way from the noise level, which the best of as many unrelated vectors
+    passes once in a thousand, to the ``low`` quantile of the own-language
+    cosine over all rows of docs. Longer texts score higher, so the quantile
+    is taken by the power of two of the length; a class of under ``least``
+    rows has the floor of the next shorter one, the shortest the noise level."""
+    dims = len(next(iter(prototypes.values()))) if prototypes else 1
+    noise = float(np.sqrt(2 * np.log(1000 * max(1, len(prototypes))) / dims))
+    size = F.floor(F.log2(F.length(text) + 1))
+    own = predict(docs.where(F.col(lang).isNotNull()).select(text, lang), prototypes, text).where(F.col("lang_pred") == F.col(lang))
+    classes = own.groupBy(size.alias("size")).agg(F.percentile_approx("score", low, 10000).alias("q"), F.count(F.lit(1)).alias("n")).collect()  # 32 at most
+    out = F.lit(noise)
+    for r in sorted(classes, key=lambda r: r["size"]):
+        if r["n"] >= least:
+            out = F.when(size >= r["size"], max(noise, (noise + r["q"]) / 2)).otherwise(out)
+    return out

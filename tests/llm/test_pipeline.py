@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from linkloom.llm.common import save, table
 
@@ -25,3 +27,12 @@ def test_empty(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("false")
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_unlearned_language(spark, sf_dir):
+    """Documents of a language that no label names are dropped, the others stay."""
+    docs = table(spark, sf_dir, "documents")
+    hidden = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    count = lambda d: {r[0]: r[1] for r in d.join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id").groupBy(F.col("true") == "es").count().collect()}
+    before, after = count(hidden), count(cp.known_language(spark, hidden, sf_dir))
+    assert before[True] >= 10 and after.get(True, 0) <= 0.2 * before[True] and after[False] >= 0.97 * before[False]
