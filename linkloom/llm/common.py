@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Folders that save() wrote in this process, oldest first.
+_SAVED: list[str] = []
+#: Bytes of one Arrow batch. A batch ends after the row that passes this.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (local tests)
-    a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local
+    master (tests) gets a temporary one; a cluster, whose machines would each
+    write their own, an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -32,23 +41,59 @@ def save(df: DataFrame, tag: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
+    _SAVED.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._linkloom_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _SAVED:
+        _SAVED.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what save() wrote; df is of no use afterwards."""
     path = getattr(df, "_linkloom_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """A point from which sweep() deletes."""
+    return len(_SAVED)
+
+
+def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Deletes all that save() wrote after the mark but for the tables to keep.
+    Without a mark: all of this process, once its results are written."""
+    held = {getattr(k, "_linkloom_path", None) for k in keep}
+    for path in _SAVED[since:]:
+        if path not in held:
+            _delete(spark, path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df if it only picks rows and columns of stored tables, whose partitions
+    come again alike when a lost task is repeated; else a saved copy."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        kind = plan.getClass().getSimpleName().rstrip("$")
+        if kind in ("LogicalRelation", "LocalRelation"):
+            return df
+        if kind not in ("Project", "Filter") or not plan.deterministic():
+            return save(df, "input")
+        plan = plan.children().head()
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, since one text may be megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """Arrow batches of few bytes, since one text may be megabytes. The setting
+    is the session's; a smaller one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,8 @@ def word_count(text: Column) -> Column:
 
 def _targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     """sizes(key, source_size) with target, whole copies and the rest. One row
-    a source: the window below sorts the list of sources, not the corpus."""
+    a source: the window below sorts the list of sources, not the corpus, in
+    one task: some millions of sources at most."""
     d38 = "decimal(38,0)"
     order = F.when(F.col("key").isNull(), 1).otherwise(0)
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(order, "key")) - 1)
@@ -73,7 +74,7 @@ def mix(
     bucket, a running sum to the bucket in which the budget ends, then only
     that bucket is split further. Nothing is sorted but histograms.
 
-    Null or empty text has size 0 and is never taken. A null source is a
+    Null or empty text has size 0 and is never taken: copies 0. A null source is a
     source of its own. Equal rows share a hash and are taken or left together.
     Whole documents are taken, so a source misses its target by at most half
     the document at the threshold. Output columns replace input columns of the
@@ -120,7 +121,8 @@ def mix(
     # the document or tie in which the budget ends is taken if that comes nearer
     over = F.col("base") + F.col("edge") - F.col("rest") < F.col("rest") - F.col("base")
     state = state.select("skey", "source_size", "target", "copies", F.when(over, F.col("hi")).otherwise(F.col("lo")).alias("until"))
-    taken = (F.col("copies") + F.when(F.col("h") < F.col("until"), 1).otherwise(0)).cast("long")
+    taken = F.when(F.col("size") > 0, F.col("copies") + F.when(F.col("h") < F.col("until"), 1).otherwise(0)).otherwise(0)
+    taken = F.least(taken, F.lit(cap)).cast("long")
     out = rows.join(state, "skey")
     new = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": taken, "taken": taken * F.col("size")}
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sum, save
+from .common import prefix_sum, save, stored
 
 
 def _read_all(df: DataFrame, text: str) -> tuple[int, int]:
@@ -21,6 +21,7 @@ def shard(
     seed: int = 17,
     bucket_bytes: int = 4 << 20,
     write_to: str | None = None,
+    max_buckets: int = 200_000,
 ) -> DataFrame:
     """The rows of docs with shard (0 to n_shards - 1) and slot (gapless from
     0 in each shard), in a seeded random order; law ``rows``: the numbers of
@@ -28,30 +29,35 @@ def shard(
 
     Pass one scatters the records over buckets of about bucket_bytes by seeded
     hashes. The hash takes the whole row and the row's place in its input
-    partition, so neither equal rows nor a hot key gather in one bucket. Pass
-    two shuffles every bucket (Fisher-Yates, Spark's ``shuffle``) inside one
-    task and writes it to the shared folder, which also fixes the random order
-    for all later readers. Buckets laid end to end are one permutation of the
-    table; shard k is the k-th of n_shards equal cuts of it.
+    partition, so neither equal rows nor a hot key gather in one bucket; an
+    input that is no stored table is written first, so that a repeated task
+    scatters its rows alike. Each bucket is one task of pass two, whose number
+    is the bucket's: it sorts the bucket by a hash, shuffles it (Fisher-Yates,
+    Spark's ``shuffle``, which seeds itself by the task's number) and writes
+    it to the shared folder. So the order hangs on the input's rows, files and
+    seed, not on the number of shuffle partitions. Buckets laid end to end are
+    one permutation of the table; shard k is the k-th of n_shards equal cuts.
+
+    There are at most max_buckets buckets (about 0.5 GB each at 100 TB), so the
+    list of their starts, 16 bytes each, is always small enough to broadcast.
 
     Nulls and empty texts are rows like others. Fewer rows than shards leave
     some shards empty; an empty table gives an empty result. Columns named
     shard or slot in docs are replaced. write_to: also writes the shards as
     Parquet, one folder a shard.
     """
+    docs = stored(docs)
     n, total = _read_all(docs, text)
-    n_buckets = max(1, -(-total // bucket_bytes))
+    n_buckets = max(1, min(-(-total // bucket_bytes), max_buckets))
     place = F.monotonically_increasing_id()
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"], place)
-    scattered = docs.select(F.pmod(hashed, F.lit(n_buckets)).cast("long").alias("bucket"), F.xxhash64(hashed, F.lit(seed)).alias("tie"), F.struct("*").alias("row"))
-    parts = max(1, min(n_buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n_buckets < 4096 else n_buckets // 4))
-    buckets = scattered.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("tie", "row")).alias("rows"))
+    scattered = docs.select(F.pmod(hashed, F.lit(n_buckets)).cast("int").alias("bucket"), F.xxhash64(hashed, F.lit(seed)).alias("tie"), F.struct("*").alias("row"))
+    buckets = scattered.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("tie", "row")).alias("rows"))
     # sorted first, so that the outcome doesn't hang on the order in which blocks arrive
     dealt = F.shuffle(F.array_sort("rows", lambda a, b: F.when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)), seed)
     written = save(buckets.select("bucket", F.size("rows").cast("long").alias("n"), dealt.alias("rows")), "buckets")
-    starts = prefix_sum(written.select("bucket", "n"), "bucket", "n", "start").select("bucket", "start")
-    starts = save(starts, "starts")
-    rows = written.join(starts, "bucket").select("start", F.posexplode("rows").alias("at", "r"))
+    starts = save(prefix_sum(written.select("bucket", "n"), "bucket", "n", "start").select("bucket", "start"), "starts")
+    rows = written.join(F.broadcast(starts), "bucket").select("start", F.posexplode("rows").alias("at", "r"))
     least, more = divmod(n, n_shards)
     at = F.col("start") + F.col("at")
     cut = more * (least + 1)  # the first shards hold one row more

@@ -22,23 +22,30 @@ def _words(text: str) -> list[str]:
 
 class WordIds:
     """ids(texts) equals encode(text, add_special_tokens=False).ids of each
-    text. Where the file's rules never let a token span white space, words are
-    looked up in a bounded cache and only unseen words are encoded."""
+    text: strings of special tokens that stand in a text get their ids. Where
+    the file's rules never let a token span white space, texts are cut at
+    those strings, and between them words are looked up in a bounded cache and
+    only unseen words are encoded."""
 
     def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.special = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in added}
+        names = sorted(self.special, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        as_they_stand = all(t.get("special") and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
         suffix = spec["model"].get("end_of_word_suffix")
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Split" and pre.get("behavior") == "Removed" and "[^\\s\\p{L}\\p{N}]+" in str((pre.get("pattern") or {}).get("Regex")) and bool(suffix)
+        self.by_word = as_they_stand and kinds == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Split" and pre.get("behavior") == "Removed" and "[^\\s\\p{L}\\p{N}]+" in str((pre.get("pattern") or {}).get("Regex")) and bool(suffix)
         self.room, self.cache, self.old = room, {}, {}
         if self.by_word:
+            self.tok.encode_special_tokens = True  # texts are cut at them before; a word that lower case makes alike is none
             vocab = self.tok.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
@@ -78,6 +85,13 @@ class WordIds:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return self._plain(texts)
+        if self.cuts and any(map(self.cuts.search, texts)):
+            parts = [self.cuts.split(t) for t in texts]  # every second part is a special token
+            coded = iter(self._by_word([p for x in parts for p in x[::2]]))
+            return [b"".join(self.special[p] if i % 2 else next(coded) for i, p in enumerate(x)) for x in parts]
+        return self._by_word(texts)
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         words = [_words(t.encode().lower().decode()) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.cache)
         if new:
