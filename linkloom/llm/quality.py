@@ -7,19 +7,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, tidy
+from .common import SPACE, forget, save, small_batches, tidy
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 NAMES = (
     "bias", "blank", "under_3_words", "under_8_words", "over_25_words", "some_symbols", "many_symbols", "upper_case",
     "digits", "ends_a_sentence", "doubled_mark", "separators", "repeats_a_line", "short_words", "long_words",
+    "notice_words", "first_lines", "last_lines",
 )
 _DOUBLED = (b"!!", b"??", b"***", b"###", b"$$$", b"%%%", b"&&&")
+#: Words of notices, menus and prompts around a text.
+NOTICES = (b"license", b"licence", b"copyright", b"rights reserved", b"cookie", b"subscribe", b"newsletter", b"click here", b"log in", b"sign up", b"privacy policy", b"terms of")
+_AT = {name: i for i, name in enumerate(NAMES)}
 
 
 def line_features(lines: list[bytes]) -> np.ndarray:
@@ -35,14 +40,33 @@ def line_features(lines: list[bytes]) -> np.ndarray:
         symbols = n - len(s.translate(None, SYMBOLS))
         upper = n - len(s.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         digits = n - len(s.translate(None, b"0123456789"))
-        out[i] = (
+        low = s.lower()
+        out[i, :-2] = (
             1, 0, words < 3, words < 8, words > 25, symbols > 0.02 * n, symbols > 0.1 * n, upper > 0.5 * n, digits > 0.2 * n,
             s[-1:] in b".!?", any(d in s for d in _DOUBLED), s.count(b" | ") >= 2, s in seen, n < 3.5 * words, n > 12 * words,
+            any(w in low for w in NOTICES),
         )
         seen.add(s)
+    out[:2, -2] = 1
+    out[-2:, -1] = 1
     return out
 
 
+def weak_labels(features: np.ndarray, shared: np.ndarray, quality: int) -> np.ndarray:
+    """A label for each line of a document to learn from. Lines that repeat in
+    it, that other documents share, of symbols or separators, shouted or with
+    words of notices are boilerplate; the others have their document's label.
+    A blank line has that of the line before it, at the head of the one after."""
+    x = features.astype(bool)
+    bad = shared | x[:, _AT["repeats_a_line"]] | x[:, _AT["many_symbols"]] | x[:, _AT["separators"]] | x[:, _AT["notice_words"]] | (x[:, _AT["upper_case"]] & x[:, _AT["doubled_mark"]])
+    out = np.where(bad, 0, quality)
+    full = np.flatnonzero(~x[:, _AT["blank"]])
+    if not len(full):
+        return np.full(len(out), quality)
+    at = np.maximum(np.searchsorted(full, np.arange(len(out)), "right") - 1, 0)
+    return out[full[at]]
+
+
 @dataclass
 class Crf:
     """Two labels, 1 for content: a weight by label and feature, one by pair of labels."""
@@ -67,36 +91,46 @@ class Crf:
         return out
 
     def marginals(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected labels by line and expected steps, by forward-backward."""
+        """Expected labels by line and expected steps, by forward-backward on
+        the ratio of the two labels' weights."""
         score = features @ self.emit.T
         n = len(score)
-        f, b = np.zeros((n, 2)), np.zeros((n, 2))
-        f[0] = score[0]
-        for i in range(1, n):
-            f[i] = score[i] + np.logaddexp(f[i - 1, 0] + self.step[0], f[i - 1, 1] + self.step[1])
-        for i in range(n - 2, -1, -1):
-            x = b[i + 1] + score[i + 1]
-            b[i] = np.logaddexp(self.step[:, 0] + x[0], self.step[:, 1] + x[1])
-        z = np.logaddexp(*f[-1])
-        steps = np.exp(f[:-1, :, None] + self.step[None] + (score[1:] + b[1:])[:, None, :] - z).sum(axis=0) if n > 1 else np.zeros((2, 2))
-        return np.exp(f + b - z), steps
-
-
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> Crf:
-    """Gradient ascent on the likelihood of line labels. A line has its
-    document's label; blank lines and their document agree as well."""
+        (s00, s01), (s10, s11) = np.exp(self.step - self.step.max()).tolist()
+        e0, e1 = np.exp(score - score.max(axis=1, keepdims=True)).T.tolist()
+        f, a, b = [], e0[0], e1[0]
+        for i in range(n):
+            if i:
+                a, b = (a * s00 + b * s10) * e0[i], (a * s01 + b * s11) * e1[i]
+            z = a + b
+            a, b = a / z, b / z
+            f.append((a, b))
+        p, steps = np.empty((n, 2)), np.zeros(4)
+        a, b = 1.0, 1.0
+        for i in range(n - 1, -1, -1):
+            x, y = f[i][0] * a, f[i][1] * b
+            p[i] = x / (x + y), y / (x + y)
+            if i:
+                x, y = e0[i] * a, e1[i] * b
+                u, v = f[i - 1]
+                w = np.array((u * s00 * x, u * s01 * y, v * s10 * x, v * s11 * y))
+                steps += w / w.sum()
+                a, b = s00 * x + s01 * y, s10 * x + s11 * y
+                a, b = a / (a + b), b / (a + b)
+        return p, steps.reshape(2, 2)
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> Crf:
+    """Gradient ascent on the likelihood of (features, label by line) of whole texts."""
     crf = Crf(np.zeros((2, len(NAMES))), np.zeros((2, 2)))
     order = np.random.default_rng(3)
     for r in range(rounds if sequences else 0):
         step = rate / (1 + r)
         for k in order.permutation(len(sequences)):
-            x, label = sequences[k]
+            x, labels = sequences[k]
             x = x.astype(float)
             p, steps = crf.marginals(x)
-            gold = np.zeros_like(p)
-            gold[:, label] = 1
-            goal = np.zeros((2, 2))
-            goal[label, label] = len(x) - 1
+            gold = np.eye(2)[labels]
+            goal = np.bincount(labels[:-1] * 2 + labels[1:], minlength=4).reshape(2, 2)
             crf.emit += step * ((gold - p).T @ x / len(x) - decay * crf.emit)
             crf.step += step * ((goal - steps) / len(x) - decay * crf.step)
     if not sequences:  # nothing learned: all is content
@@ -104,11 +138,36 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 12, rate: float =
     return crf
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = 2000, max_lines: int = 64) -> Crf:
-    """Fits on the documents of at most ``sample`` rows of labels (doc_id,
+def _hashes(text: bytes | None) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.strip(SPACE)) for x in (text or b"").split(b"\n")), np.uint64).view(np.int64)
+
+
+def _holders(docs: DataFrame, known: np.ndarray) -> dict[int, int]:
+    """In how many of all documents each known line (a hash) stands."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.unique(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        count = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t and len(known):
+                    h = np.unique(_hashes(t))
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    count[at[known[at] == h]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(known[count > 0]), pa.array(count[count > 0])], ["h", "n"])
+
+    found = docs.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return {r["h"]: r["n"] for r in found.collect()}  # at most the sample's lines
+
+
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = 2000, sample_lines: int = 400_000, shared: int = 10) -> Crf:
+    """Fits on whole texts of at most ``sample`` rows of labels (doc_id,
     quality 0/1), half of either kind, those with the smallest hash of their
-    id; of a longer document, max_lines lines spread evenly. This bounded
-    sample is the only one; every document is judged whole."""
+    id, as long as they have sample_lines lines in all. This bounded sample is
+    the only one: in how many documents its lines stand is counted over all of
+    docs (``shared`` or more make a line boilerplate), and every document is
+    judged whole."""
     picked = None
     for q in (0, 1):
         part = labels.where((F.col("quality") == q) & F.col(doc_id).isNotNull()).select(doc_id, F.col("quality").alias("q")).dropDuplicates([doc_id])
@@ -117,17 +176,22 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = []
-            for t in batch.column(0).to_pylist():
-                x = line_features((t or b"").split(b"\n"))
-                if len(x) > max_lines:
-                    x = x[np.linspace(0, len(x) - 1, max_lines).astype(int)]
-                xs.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), batch.column(1), batch.column(2)], ["x", "q", "k"])
+            texts = batch.column(0).to_pylist()
+            x = [line_features((t or b"").split(b"\n")).tobytes() for t in texts]
+            h = [_hashes(t).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(h, pa.binary()), batch.column(1)], ["x", "h", "q"])
 
-    chosen = docs.select(F.col(text).cast("binary").alias("t"), doc_id).join(F.broadcast(picked), doc_id)  # at most sample rows
-    rows = chosen.select("t", "q", F.xxhash64(doc_id, "t").alias("k")).mapInArrow(tidy(run), "x binary, q int, k long").orderBy("k").limit(2 * sample).collect()
-    return fit([(np.frombuffer(r["x"], np.uint8).reshape(-1, len(NAMES)), int(r["q"])) for r in rows])
+    body = docs.select(F.col(text).alias("t"), doc_id)
+    chosen = save(body.join(F.broadcast(picked), doc_id).select("t", "q", F.xxhash64(doc_id, "t").alias("k")), "sample")  # at most sample ids
+    lines = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    upto = F.sum(lines).over(Window.orderBy("k", "t").rowsBetween(Window.unboundedPreceding, 0))  # one task, sample rows
+    few = chosen.withColumn("upto", upto).where(F.col("upto") <= sample_lines).limit(2 * sample)
+    rows = few.select(F.col("t").cast("binary"), "q", "k").mapInArrow(tidy(run), "x binary, h binary, q int").collect()
+    forget(chosen)
+    rows = [(np.frombuffer(r["x"], np.uint8).reshape(-1, len(NAMES)), np.frombuffer(r["h"], np.int64), int(r["q"])) for r in rows]
+    n = _holders(body.select(F.col("t").cast("binary")), np.concatenate([h for _, h, _ in rows])) if rows else {}
+    often = np.array(sorted(h for h, k in n.items() if k >= shared), np.int64)
+    return fit([(x, weak_labels(x, np.isin(h, often), q)) for x, h, q in rows])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -171,6 +235,7 @@ def judge(docs: DataFrame, crf: Crf, text: str = "text", min_words: int = 50, ma
     words in content lines. kept: not base_failed, and a share of at least
     min_content. Null and empty text have no word, share 0, and fail. Columns
     of those names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*COLUMNS)
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     column = docs.columns.index(text)
