@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import save
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,9 +48,22 @@ TEMPLATES = (
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc-by-sa", "creative commons attribution sharealike", ("creative commons attribution sharealike",)),
     Template("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("above copyright notice and this permission notice", "substantial portions of the software")),
+    Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("except in compliance with the license", "apache org licenses license 2 0")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain", "this list of conditions and the following disclaimer")),
+    Template("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license as published", "either version 2 of the license")),
+    Template("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license as published", "either version 3 of the license")),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license as published",)),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("subject to the terms of the mozilla public license",)),
+    Template("epl-2", "made available under the terms of the eclipse public license 2 0", ("eclipse public license 2",)),
+    Template("bsl-1", "distributed under the boost software license version 1 0", ("boost software license version 1",)),
+    Template("zlib", "provided as is without any express or implied warranty in no event will the authors be held liable", ("without any express or implied warranty", "will the authors be held liable")),
 )
 #: Words of notices that say nothing about a licence; they are verified, not indexed.
-COMMON = frozenset("a and any are by copy files for forms free in into is 0 1 2 3 4 of or person purpose released source the this to under use version with without".split())
+COMMON = frozenset(
+    "a above all an and any are as at available be by code copies copy either event except file files following for form forms free held http in into is it list made "
+    "may must no not notice of or org person provided purpose released shall source subject terms that the this to under use v version will with without www you 0 1 2 3 4".split()
+)
 
 
 def words(text: Column) -> Column:
@@ -62,17 +77,76 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, top: int = 8, min_votes: int = 2) -> DataFrame:
+@dataclass(frozen=True)
+class Posting:
+    """A template as the index holds it: its rarest word, the other indexed
+    words, each with their places, and the places of its key phrases."""
+
+    label: str
+    parts: list[str]
+    word: str
+    at: int
+    others: list[tuple[str, list[int]]]
+    keys: list[tuple[int, list[str]]]
+    least: int
+
+
+def index(templates: tuple[Template, ...], df: dict[str, int], min_votes: int) -> list[Posting]:
+    """Under each template's indexed word of the highest IDF among those that
+    its key phrases need: who holds the phrases holds that word in that place."""
+    out = []
+    for t in templates:
+        parts = t.text.split()
+        keys = []
+        for phrase in t.key:
+            p = phrase.split()
+            keys.append((next(i for i in range(len(parts)) if parts[i : i + len(p)] == p), p))
+        inside = [j for i, p in keys for j in range(i, i + len(p)) if parts[j] not in COMMON]
+        at = min(inside, key=lambda j: (df.get(parts[j], 0), parts[j], j))
+        words_ = sorted({w for w in parts if w not in COMMON})
+        others = [(w, [j for j, x in enumerate(parts) if x == w]) for w in words_ if w != parts[at]]
+        out.append(Posting(t.label, parts, parts[at], at, others, keys, min(min_votes, len(words_))))
+    return out
+
+
+def _word_at(i: Column) -> Column:
+    """The word at place i (from 0) of ws, null outside."""
+    return F.try_element_at("ws", F.when(i >= 0, i + 1).otherwise(1 << 30).cast("int"))
+
+
+def _shares(t: Posting) -> Column:
+    """Where a candidate's key phrases stand word for word, the share of the
+    template's words in place; one entry for each such place."""
+
+    def votes(off: Column) -> Column:
+        agree = (reduce(or_, [F.coalesce(_word_at(off + j) == w, F.lit(False)) for j in js]) for w, js in t.others)
+        return sum((a.cast("int") for a in agree), F.lit(1))
+
+    def proven(off: Column) -> Column:
+        stand = (off + min(i for i, _ in t.keys)) >= 0
+        for i, p in t.keys:
+            stand = stand & (F.slice("ws", F.greatest(off + i, F.lit(0)) + 1, len(p)) == _strings(p))
+        return stand
+
+    here = F.transform(F.filter("hits", lambda x: x["w"] == t.word), lambda x: x["p"] - t.at)
+    found = F.filter(here, lambda off: F.when(votes(off) >= t.least, proven(off)).otherwise(False))
+    same = lambda off: F.size(F.filter(F.transform(_strings(t.parts), lambda w, i: F.coalesce(_word_at(off + i) == w, F.lit(False))), lambda ok: ok))
+    return F.transform(found, lambda off: same(off) / len(t.parts))
+
+
+def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, min_votes: int = 2) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     One pass over the texts finds, in each file, the places of the words that
     the templates' index holds. Their inverse document frequencies count all
-    files. Of each file, the ``top`` indexed words with the highest IDF are
-    looked up in the templates' positional postings; postings that agree on
-    one relative position in min_votes words (all of a shorter template's)
-    make a candidate, and a candidate whose key phrases stand there word for
-    word gives its label. score is the largest share of a template's words
-    that stand in place, 1 where a base phrase is found, 0 without a label.
+    files, and give each template its rarest word among those its key phrases
+    need. At each place of that word the other words' postings are intersected
+    by relative position: min_votes different words (all of a shorter
+    template's) in their places make a candidate, and a candidate whose key
+    phrases all stand there word for word gives its label. score is the
+    largest share of a template's words that stand in place, 1 where a base
+    phrase is found, 0 without a label. All of it is computed inside the
+    file's row: no file is shuffled, and none of its words is left out.
 
     Base phrases are counted at every place, from the same index. Null and
     empty text has no words, no label (empty string) and score 0. Repeated
@@ -81,57 +155,28 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     docs = docs.drop(*new)
     vocab = sorted({w for t in templates for w in t.text.split() if w not in COMMON} | set(ANCHOR.values()))
-    ws = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row") if len(docs.columns) > 1 else F.struct(F.lit(0)).alias("row"), words(F.col(text)).alias("ws"))
-    known = F.arrays_overlap("ws", _strings(vocab))
-    ws = ws.select("uid", "row", F.size("ws").cast("long").alias("n_words"), F.when(known, F.col("ws")).alias("ws"))
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    ws = docs.select(row.alias("row"), words(F.col(text)).alias("ws"))
     at = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: x["w"].isin(vocab))
-    found = save(ws.withColumn("hits", at), "hits")
+    known = F.arrays_overlap("ws", _strings(vocab))
+    found = ws.select("row", F.size("ws").cast("long").alias("n_words"), F.when(known, F.col("ws")).alias("ws")).withColumn("hits", at)
+    found = save(found, "hits")
+    frequency = found.where("hits IS NOT NULL").select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w")).groupBy("w").count().collect()  # at most the vocabulary
+    postings = index(templates, {r["w"]: r["count"] for r in frequency}, min_votes)
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
         back = parts.index(ANCHOR[phrase])
-        here = F.filter("hits", lambda x: (x["w"] == ANCHOR[phrase]) & (x["p"] >= back) & (F.slice(F.col("ws"), x["p"] - back + 1, len(parts)) == _strings(parts)))
+        here = F.filter("hits", lambda x: (x["w"] == ANCHOR[phrase]) & (x["p"] >= back) & (F.slice(F.col("ws"), F.greatest(x["p"] - back, F.lit(0)) + 1, len(parts)) == _strings(parts)))
         return F.transform(here, lambda x: F.struct((x["p"] - back).cast("long").alias("p"), F.lit(BASE[phrase]).alias("label")))
 
     base = F.coalesce(F.concat(*[places(p) for p in BASE]), F.array().cast("array<struct<p:bigint,label:string>>"))
-    files = found.withColumn("base", base)
-
-    frequency = found.where("hits IS NOT NULL").select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w")).groupBy("w").count().collect()  # at most the vocabulary
-    df = dict.fromkeys(vocab, 0) | {r["w"]: r["count"] for r in frequency}
-    spark = docs.sparkSession
-    postings, shapes = [], []
-    for k, t in enumerate(templates):
-        parts = t.text.split()
-        index = {w for w in parts if w not in COMMON}
-        keys = []
-        for phrase in t.key:
-            p = phrase.split()
-            i = next(i for i in range(len(parts)) if parts[i : i + len(p)] == p)
-            keys.append((i, p))
-        at = {j for i, p in keys for j in range(i, i + len(p)) if parts[j] in index}
-        rare = sorted({parts[j] for j in at}, key=lambda w: (df[w], w))
-        if len(rare) < min_votes:
-            at, rare = {i for i, w in enumerate(parts) if w in index}, sorted(index)
-        else:
-            rare = rare[: max(top, min_votes)]
-        postings += [(parts[j], k, j) for j in sorted(at) if parts[j] in rare]
-        shapes.append((k, t.label, parts, keys, min(min_votes, len(index))))
-    used = F.filter("hits", lambda x: x["w"].isin(sorted({w for w, _, _ in postings})))
-    looked = found.where("hits IS NOT NULL").select("uid", F.explode(used).alias("h"))
-    post = F.broadcast(spark.createDataFrame(postings, "w string, k int, tpos int"))  # the templates: a fixed list
-    shape = F.broadcast(spark.createDataFrame(shapes, "k int, label string, parts array<string>, keys array<struct<at:int,phrase:array<string>>>, least int"))
-    votes = looked.select("uid", "h.w", "h.p").join(post, "w").groupBy("uid", "k", (F.col("p") - F.col("tpos")).alias("off")).agg(F.count_distinct("w").alias("votes"))
-    wanted = save(votes.join(shape.select("k", "least"), "k").where("votes >= least").select("uid", "k", "off"), "candidates")
-    near = found.select("uid", "ws").where("ws IS NOT NULL").join(small(wanted, 64), "uid").join(shape, "k")
-    present = F.forall("keys", lambda x: (F.col("off") + x["at"] >= 0) & (F.slice(F.col("ws"), F.greatest(F.col("off") + x["at"], F.lit(0)) + 1, F.size(x["phrase"])) == x["phrase"]))
-    same = F.size(F.filter(F.transform("parts", lambda w, i: F.coalesce(F.try_element_at("ws", F.when(F.col("off") + i >= 0, F.col("off") + i + 1).otherwise(1 << 30)) == w, F.lit(False))), lambda x: x))
-    proven = near.where(present).groupBy("uid").agg(F.collect_set("label").alias("more"), F.max(same / F.size("parts")).alias("share"))
-    proven = save(proven, "proven")
-
-    none = F.array().cast("array<string>")
-    out = files.drop("ws", "hits").join(small(proven, 256), "uid", "left")
+    best = F.array(*[F.struct(F.lit(t.label).alias("label"), F.array_max(_shares(t)).alias("share")) for t in postings])
+    best = F.when(F.size("hits") > 0, F.filter(best, lambda x: x["share"].isNotNull()))
+    files = found.select("row", "n_words", base.alias("base"), F.coalesce(best, F.array().cast("array<struct<label:string,share:double>>")).alias("best"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
-    labels = F.array_sort(F.array_union(base_labels, F.coalesce("more", none)))
+    labels = F.array_sort(F.array_union(base_labels, F.transform("best", lambda x: x["label"])))
     count = F.size("base").cast("long")
     values = {
         "n_words": F.col("n_words"),
@@ -140,6 +185,6 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
         "last_word": F.array_max(F.transform("base", lambda x: x["p"])),
         "base_labels": F.array_join(base_labels, ","),
         "labels": F.array_join(labels, ","),
-        "score": F.when(count > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))),
+        "score": F.when(count > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("best", lambda x: x["share"])), F.lit(0.0))),
     }
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text], *[v.alias(k) for k, v in values.items()])
+    return files.select(*[F.col(f"row.`{c}`").alias(c) for c in others], *[v.alias(k) for k, v in values.items()])

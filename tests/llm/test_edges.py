@@ -7,7 +7,7 @@ import pytest
 
 from linkloom.llm import embeddings, language, quality
 from linkloom.llm.embeddings import near_vectors
-from linkloom.llm.licenses import TEMPLATES, scan
+from linkloom.llm.licenses import COMMON, TEMPLATES, scan
 from linkloom.llm.line_dedup import dedup_lines
 from linkloom.llm.mixing import mix
 from linkloom.llm.ngram_join import near_duplicates
@@ -16,6 +16,8 @@ from linkloom.llm.queries import tokenizer_path
 from linkloom.llm.sharding import shard
 from linkloom.llm.suffix_dedup import dedup_substrings
 
+from .test_queries import licences
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, uid long, size long, kept boolean, score string"
 LONG = " ".join(f"wort{i % 5000}ä" for i in range(60000))
 TEXTS = [(1, None), (2, ""), (3, "a\nb\n a \n"), (3, "a\nb\n a \n"), (None, "Ünder the MIT license, x"), (5, LONG), (6, LONG), (None, None), (7, "\x00\n\r\t"), (8, "🙂" * 300)]
@@ -130,6 +132,25 @@ def test_all_notices(spark):
     assert (got[2].labels, got[2].score, got[3].labels) == ("bsd", 1.0, "")
 
 
+def test_notices_by_brute_force(spark):
+    """Notices whole, cut at either end and with a word changed, in files with other notices."""
+    texts = []
+    for t in TEMPLATES:
+        w = t.text.split()
+        texts += [t.text, " ".join(w[1:]), " ".join(w[:-1]), " ".join([*w[: len(w) // 2], "odd", *w[len(w) // 2 + 1 :]]), f"{t.text} x {TEMPLATES[5].text} {t.text}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan(d).collect()}
+    for i, t in enumerate(texts):
+        more = licences(t.split(), TEMPLATES, COMMON)
+        assert set(got[i].labels.split(",")) - {""} == set(more) | (set(got[i].base_labels.split(",")) - {""})
+        assert got[i].n_base or got[i].score == pytest.approx(max(more.values(), default=0.0))
+
+
+def test_no_file_is_shuffled(docs):
+    plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def windows(packer):
     out = {}
     for _, start, ids, n, sid, _, tier in packer.take():
