@@ -9,17 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_pairs, blocks, components, Forest, runs, save, small, tidy
+from .common import block_pairs, blocks, components, Forest, mark, runs, save, small, small_batches, sweep, tidy
 
 #: Rows compared at once when neighbour lists are begun.
 SLICE = 256
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is scaled by its largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _unit(flat.reshape(len(column), -1))
 
 
 def _codes(tables: int, seed: int):
@@ -80,22 +85,33 @@ def _join(k: int):
 
 
 def _verify(threshold: float):
+    """For the pairs of two blocks: by vector the number of links, weighted,
+    and the edges of a forest that connects what links connect. Cosines of
+    SLICE rows at a time are held, and none of the pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
             ids, mult, mine = group["cid"].to_numpy(), group["mult"].to_numpy(), group["mine"].to_numpy()
             bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
             x = _matrix(group["v"])
             rows, cols = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-            ok = x[rows] @ x[cols].T >= threshold
-            if bi == bj:
-                ok[np.arange(len(rows)), np.arange(len(rows))] = False
-            links = np.zeros(len(ids), np.int64)
-            links[rows] += ok @ mult[cols]
-            if bi != bj:
-                links[cols] += mult[rows] @ ok
-            forest = Forest(len(ids))
-            for i, j in np.argwhere(ok).tolist():
-                forest.union(int(rows[i]), int(cols[j]))
+            links, forest, root = np.zeros(len(ids), np.int64), Forest(len(ids)), np.arange(len(ids))
+            y, weight = x[cols].T, mult[cols]
+            for at in range(0, len(rows), SLICE):
+                part = rows[at : at + SLICE]
+                ok = x[part] @ y >= threshold
+                if bi == bj:
+                    ok[np.arange(len(part)), np.arange(at, at + len(part))] = False
+                links[part] += ok @ weight
+                if bi != bj:
+                    links[cols] += mult[part] @ ok
+                for i, hit in zip(part.tolist(), ok, strict=True):
+                    near = root[cols[hit]]
+                    if len(near) and (near != root[i]).any():
+                        for r in np.unique(near).tolist():
+                            forest.union(i, r)
+                        joined = np.isin(root, np.append(near, root[i]))
+                        root[joined] = root[joined].min()
             u = [*ids.tolist(), *(int(ids[a]) for a, _ in forest.made)]
             v = [*[None] * len(ids), *(int(ids[b]) for _, b in forest.made)]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([*links.tolist(), *[0] * len(forest.made)], pa.int64())], ["u", "v", "links"])
@@ -138,12 +154,22 @@ def _descend(graph: DataFrame, vecs: DataFrame, k: int, rounds: int) -> DataFram
     return graph
 
 
+def _audited(vecs: DataFrame, threshold: float, sample: int, enough: int = 32, tries: int = 3) -> DataFrame:
+    """The true links of ``sample`` vectors; of four times as many, twice over,
+    while under ``enough`` of them have any."""
+    n = vecs.count()
+    for k in range(tries):
+        true = save(_true_links(vecs, threshold, sample << 2 * k), "audit")
+        if (sample << 2 * k) >= n or true.select("u").distinct().count() >= enough:
+            break
+    return true
+
+
 def _true_links(vecs: DataFrame, threshold: float, sample: int) -> DataFrame:
     """Brute force: the links of ``sample`` vectors, those with the smallest hash, against all."""
     picked = vecs.orderBy(F.xxhash64("cid"), "cid").limit(sample).collect()  # the audit's documented bound
     ids = np.array([r["cid"] for r in picked], np.int64)
-    q = np.array([r["v"] for r in picked], np.float64)
-    sent = vecs.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+    sent = vecs.sparkSession.sparkContext.broadcast((ids, _unit(np.array([r["v"] for r in picked], np.float64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
@@ -178,7 +204,7 @@ def near_vectors(
     rounds: int = 4,
     audit: int = 256,
     wanted: float = 0.98,
-    block: int = 1024,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """key, n_links, component_id and kept of each row.
 
@@ -190,18 +216,25 @@ def near_vectors(
     more, in its group and outside. So the lists of saturated vectors are
     enlarged at once to all other saturated vectors (of a link outside its
     lists, both ends are saturated), which joins groups; then in each group
-    every pair is computed in double precision. Both go in blocks of which
-    every two meet, with no cap; the cost is the square of the number of
-    saturated vectors and of a group. An audit compares ``audit`` sampled vectors with all others by brute
-    force. Below the wanted recall, as a mean over the vectors and over those
-    of few and of many links apart, the search goes on with lists and tables
-    of twice the number; after three tries, all pairs are compared.
+    every pair is computed in double precision. Both go in blocks of
+    block_bytes of which every two meet, with no cap; the products are the
+    square of the number of saturated vectors and of a group, and a vector is
+    sent once for each block of its group. An audit compares ``audit`` sampled
+    vectors (up to 16 times as many while few of them have links) with all
+    others by brute force. Below the wanted recall, as a mean over the vectors
+    and over those of few and of many links apart, the search goes on with
+    lists and tables of twice the number; after three tries, all pairs are
+    compared, so no result leaves with less.
 
     Vectors that are null, empty, zero or hold nulls or non-finite components
     link with nothing; vectors of different length don't link. component_id is
     the smallest key that links reach. Repeated keys and rows are vectors of
     their own; a null key has a null component_id unless others are linked.
+    Components of any finite size are compared alike. Other columns of rows,
+    clashing ones too, are not part of the result.
     """
+    small_batches(rows.sparkSession)
+    since = mark()
     v = F.col(vector).cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     base = save(rows.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("id"), F.when(fine, v).alias("v")), "rows")
@@ -211,11 +244,12 @@ def near_vectors(
     for dim in sorted(r[0] for r in reps.groupBy("dim").count().collect()):  # lengths of vectors: a handful
         vecs = reps.where(F.col("dim") == dim).select("cid", "v", "mult")
         n = vecs.count()
-        true = save(_true_links(vecs.select("cid", "v"), threshold, audit), "audit")
+        block = max(SLICE, block_bytes // (8 * dim))
+        true = _audited(vecs.select("cid", "v"), threshold, audit)
         graph, seed, width, planes = None, 100, k, tables
         for _ in range(3):
             coded = vecs.select("cid", "v").mapInArrow(tidy(_codes(planes, seed)), "table long, code long, cid long, v array<double>")
-            parts = max(1, min(-(-n * planes // (8 * SLICE)), 4096))
+            parts = max(1, -(-n * planes // (32 * SLICE)))
             begun = coded.repartitionByRange(parts, "table", "code", "cid").sortWithinPartitions("table", "code", "cid").select("cid", "v").mapInArrow(tidy(_begin(width)), "u long, v long, s double")
             graph = save(_best(begun if graph is None else graph.union(begun), width), "graph")
             graph = _descend(graph, vecs.select("cid", "v"), width, rounds)
@@ -241,9 +275,10 @@ def near_vectors(
     known = reps.join(links, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     known = save(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("label", "cid").alias("label")).where("n_links > 0"), "known")
     hit = save(base.where("v IS NOT NULL").join(small(known, 600), "v").select("uid", "id", "n_links", "label"), "hit")
-    first = hit.groupBy("label").agg(F.min("id").alias("first"))
-    final = hit.join(first, "label").select("uid", "n_links", "first")
-    out = base.select("uid", "id").join(small(save(final, "final"), 48), "uid", "left")
+    first = save(hit.groupBy("label").agg(F.min("id").alias("first")), "first")
+    final = save(hit.join(small(first, 48), "label").select("uid", "n_links", "first"), "final")
+    sweep(rows.sparkSession, since, base, final)
+    out = base.select("uid", "id").join(small(final, 48), "uid", "left")
     least = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("first"))
     return out.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"),

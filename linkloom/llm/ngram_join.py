@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, blocks, components, Forest, runs, save, small, tidy
+from .common import block_pairs, blocks, components, Forest, mark, runs, save, small, small_batches, sweep, tidy
 
 PERMS, BANDS = 128, 32
 #: Hashes after which a pair is judged again.
@@ -158,8 +158,6 @@ def _link(least: tuple[int, ...]):
 
 def shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[rows] and sets[cols]."""
-    if len(sets) <= 4:
-        return np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in cols] for i in rows])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     use = n[at] > 1  # what one set holds alone is shared by no pair
@@ -167,16 +165,20 @@ def shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.nda
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     out = np.zeros((len(rows), len(cols)), np.float32)
-    width = int((n > 1).sum())
-    for c in range(0, width, 4096):
-        a, b = np.searchsorted(at, [c, c + 4096])
-        x = np.zeros((len(sets), min(4096, width - c)), np.float32)
+    width, step = int((n > 1).sum()), 1024
+    for c in range(0, width, step):
+        a, b = np.searchsorted(at, [c, c + step])
+        x = np.zeros((len(sets), min(step, width - c)), np.float32)
         x[owner[a:b], at[a:b] - c] = 1
         out += x[rows] @ x[cols].T
-    return out.astype(np.int64)
+    return out
 
 
-def _verify(n: int, threshold: float, least: tuple[int, ...]):
+def _verify(n: int, threshold: float, least: tuple[int, ...], few: float = 0.02):
+    """Of the pairs of two blocks, those that the incremental comparison
+    doesn't drop are verified exactly: one by one while they are few, by
+    counting all shared shingles of the blocks where many survive."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
             ids, mult = group["cid"].to_numpy(), group["mult"].to_numpy()
@@ -184,21 +186,29 @@ def _verify(n: int, threshold: float, least: tuple[int, ...]):
                 continue
             sets = [shingles(t, n) for t in group["t"].to_pylist()]
             size = np.array([len(s) for s in sets])
+            sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), PERMS)
             mine, bi, bj = group["mine"].to_numpy(), group["bi"][0].as_py(), group["bj"][0].as_py()
             rows, cols = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-            both = shared(sets, rows, cols)
-            # |A & B| / |A | B| >= threshold, to the integer where threshold is a decimal
-            union = size[rows][:, None] + size[cols][None, :] - both
-            ok = both * 10_000 >= round(threshold * 10_000) * union
-            if bi == bj:
-                ok[np.arange(len(rows)), np.arange(len(rows))] = False
-            links = np.zeros(len(ids), np.int64)
-            links[rows] += ok @ mult[cols]
-            if bi != bj:
-                links[cols] += mult[rows] @ ok
-            forest = Forest(len(ids))
-            for i, j in np.argwhere(ok).tolist():
-                forest.union(int(rows[i]), int(cols[j]))
+            begin = [k + 1 if bi == bj else 0 for k in range(len(rows))]  # each pair once
+            left = [k + survivors(sigs[i], sigs[cols[k:]], least) for i, k in zip(rows.tolist(), begin, strict=True)]
+            many = sum(map(len, left)) > few * len(rows) * len(cols) and len(sets) > 4
+            both = shared(sets, rows, cols) if many else None
+            links, forest, root = np.zeros(len(ids), np.int64), Forest(len(ids)), np.arange(len(ids))
+            for k, (i, at) in enumerate(zip(rows.tolist(), left, strict=True)):
+                if not len(at):
+                    continue
+                other = cols[at]
+                common = both[k, at].astype(np.int64) if many else np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in other.tolist()])
+                # |A & B| / |A | B| >= threshold, to the integer where threshold is a decimal
+                other = other[common * 10_000 >= round(threshold * 10_000) * (size[i] + size[other] - common)]
+                links[i] += mult[other].sum()
+                links[other] += mult[i]
+                near = root[other]
+                if len(near) and (near != root[i]).any():
+                    for r in np.unique(near).tolist():
+                        forest.union(i, r)
+                    joined = np.isin(root, np.append(near, root[i]))
+                    root[joined] = root[joined].min()
             u = [*ids.tolist(), *(int(ids[a]) for a, _ in forest.made)]
             v = [*[None] * len(ids), *(int(ids[b]) for _, b in forest.made)]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([*links.tolist(), *[0] * len(forest.made)], pa.int64())], ["u", "v", "links"])
@@ -213,8 +223,8 @@ def near_duplicates(
     n: int = 5,
     threshold: float = 0.8,
     tolerance: float = 1e-7,
-    block: int = 512,
-    bucket: int = 8192,
+    block: int = 2048,
+    bucket: int = 32768,
     block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """docs with class_id, n_links and kept.
@@ -229,8 +239,9 @@ def near_duplicates(
     one member. MinHash bands put members in buckets; in a bucket the MinHash
     values of two members are compared in steps, and a pair is dropped once
     the posterior probability of reaching threshold is under tolerance.
-    Members that survivors connect form groups, in which every pair is then
-    verified exactly on its shingles. Buckets and groups above a block are
+    Members that survivors connect form groups, in which every pair is
+    compared so again, and every pair that isn't dropped verified exactly on
+    its shingles. Buckets and groups above a block are
     split in blocks of which every two meet, in tasks of bounded size; tasks
     return counts and the edges of a forest, never all pairs. Only pairs whose
     similarity is at threshold and that share none of 32 bands of 4 values
@@ -240,6 +251,8 @@ def near_duplicates(
     words are one shingle. Repeated rows are copies. Columns named class_id,
     n_links or kept are replaced.
     """
+    small_batches(docs.sparkSession)
+    since = mark()
     least = needed(threshold, tolerance)
     docs = docs.drop("class_id", "n_links", "kept")
     rows = save(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "docs")
@@ -258,15 +271,15 @@ def near_duplicates(
 
     sized = save(
         groups.select(F.col("node").alias("cid"), F.col("label").alias("grp"))
-        .join(classes.select("cid", "mult"), "cid")
+        .join(classes.select("cid", "mult", "sig"), "cid")
         .join(feats.select(F.col("uid").alias("cid"), "n"), "cid"),
         "sized",
     )
     per = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     per = per.select("grp", F.greatest(blocks(F.col("members"), block), blocks(F.col("shingles") * 16, block_bytes)).alias("nb"))
-    sized = save(sized.join(per, "grp").select(F.col("cid").alias("uid"), "grp", "mult", "nb"), "members")
-    texts = rows.select("uid", body.alias("t")).join(small(sized, 48), "uid").withColumnRenamed("uid", "cid")
-    met = block_pairs(texts, "grp", "nb", "cid").select("grp", "bi", "bj", "mine", "cid", "mult", "t")
+    sized = save(sized.join(per, "grp").select(F.col("cid").alias("uid"), "grp", "mult", "sig", "nb"), "members")
+    texts = rows.select("uid", body.alias("t")).join(small(sized, 200), "uid").withColumnRenamed("uid", "cid")
+    met = block_pairs(texts, "grp", "nb", "cid").select("grp", "bi", "bj", "mine", "cid", "mult", "sig", "t")
     met = met.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cid")
     found = save(met.mapInArrow(tidy(_verify(n, threshold, least)), "u long, v long, links long"), "links")
     links = found.where("v IS NULL").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
@@ -277,8 +290,9 @@ def near_duplicates(
     known = save(known.where("n_links > 0"), "known")
     linked = feats.select("uid", "set").where("set IS NOT NULL").join(small(known, 96), "set").select("uid", "n_links", "label")
     linked = save(linked.join(rows.select("uid", F.col(f"row.`{doc_id}`").alias("id")), "uid"), "linked")
-    first = linked.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("f"))
-    final = save(linked.join(first, "label").select("uid", "n_links", F.col("f.id").alias("class_id"), (F.col("uid") == F.col("f.uid")).alias("first")), "final")
+    first = save(linked.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("f")), "first")
+    final = save(linked.join(small(first, 96), "label").select("uid", "n_links", F.col("f.id").alias("class_id"), (F.col("uid") == F.col("f.uid")).alias("first")), "final")
+    sweep(docs.sparkSession, since, rows, final)
     out = rows.join(small(final, 48), "uid", "left")
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in docs.columns],

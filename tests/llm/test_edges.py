@@ -95,6 +95,14 @@ def test_vectors(spark):
     assert near_vectors(d.where("false")).collect() == []
 
 
+def test_magnitudes(spark):
+    """Tiny and huge components, repeated and null keys, and columns of the result's names."""
+    rows = [(1, [1e-200, 1e-198]), (2, [1e-198, 1e-200]), (3, [2e-200, 2e-198]), (4, [1e200, 1e308]), (5, [1e-3, 1e100]), (6, [-1e308, 1e308]), (6, [-1e308, 1e308]), (None, [1e308, 1.1e308]), (None, [0.0, 0.0])]
+    d = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, n_links string, cid string")
+    got = sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in near_vectors(d).collect())
+    assert got == sorted([("1", 3, 1, True), ("2", 0, 2, True), ("3", 3, 1, False), ("4", 3, 1, False), ("5", 3, 1, False), ("6", 1, 6, True), ("6", 1, 6, True), ("None", 0, None, None), ("None", 0, None, None)])
+
+
 def test_saturated_clusters(spark):
     """Two clusters of 15 and 14 vectors, 0.96 apart: every list of 10 is full of its own cluster."""
     rows = [(i, [1.0, 0.001 * i, 0.0]) for i in range(15)] + [(15 + i, [0.96, 0.0, 0.28 + 0.001 * i]) for i in range(14)]
@@ -114,6 +122,35 @@ def test_audit_by_vector(spark):
     assert recall == 0.0 and len(true) * 0.98 <= 40 * 39
 
 
+def test_blocks_of_pairs(spark):
+    """A chain of groups compared in many small blocks, against brute force."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((6, 8))[rng.integers(0, 6, 400)] + 0.12 * rng.standard_normal((400, 8)), rng.standard_normal((100, 8))])
+    d = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors(d, block_bytes=1).collect()}
+    assert got == dict(enumerate(links.tolist())) and links.max() > 50
+
+
+def test_many_near_copies(spark):
+    """Near copies and bystanders, in small blocks and in one: links as by brute force."""
+    words_ = [f"w{i}" for i in range(120)]
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(300):
+        w = list(words_)
+        for j in rng.integers(0, 120, i % 5):
+            w[j] = f"x{i}_{j}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{i}_{j}" for j in range(60)) for i in range(50)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [sum(10 * len(a & b) >= 8 * len(a | b) for b in sets) - 1 for a in sets]
+    for block in (16, 2048):
+        assert {r.doc_id: r.n_links for r in near_duplicates(d, block=block, bucket=64).collect()} == dict(enumerate(links))
+
+
 def test_missed_links(spark, monkeypatch):
     """A search that finds nothing ends in the comparison of all pairs."""
     monkeypatch.setattr(embeddings, "_descend", lambda graph, *_: graph.limit(0))
