@@ -123,7 +123,11 @@ def md5_60(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long")
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+#: Bytes that small() broadcasts at most.
+LIMIT = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = LIMIT) -> DataFrame:
     """df, marked for broadcast if its counted rows take at most limit bytes;
     otherwise Spark joins by shuffle. df should be a saved table."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -14,9 +14,9 @@ from linkloom.llm.ngram_join import near_duplicates
 from linkloom.llm.packing import Packer, pack
 from linkloom.llm.queries import tokenizer_path
 from linkloom.llm.sharding import shard
-from linkloom.llm.suffix_dedup import dedup_substrings
+from linkloom.llm.suffix_dedup import anchors, dedup_substrings, Suffixes
 
-from .test_queries import licences
+from .test_queries import covered, licences
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, uid long, size long, kept boolean, score string"
 LONG = " ".join(f"wort{i % 5000}ä" for i in range(60000))
@@ -151,6 +151,36 @@ def test_many_near_copies(spark):
         assert {r.doc_id: r.n_links for r in near_duplicates(d, block=block, bucket=64).collect()} == dict(enumerate(links))
 
 
+def test_kasai():
+    """Common prefixes of neighbours in the order by comparing bytes."""
+    rng = np.random.default_rng(8)
+    parts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (500, 3, 900, 40)] + [b"a" * 300, b"ab" * 200, b"xyz" * 100] * 2
+    for length in (5, 8, 40, 64):
+        s = Suffixes(parts, length)
+        text = s.text.tobytes()
+        o = s.order.tolist()
+        assert o == sorted(o, key=lambda i: (text[i : i + length], i))
+        wanted = [0] + [next((k for k in range(length) if text[a + k] != text[b + k]), length) for a, b in zip(o, o[1:], strict=False)]
+        assert s.kasai().tolist() == wanted
+
+
+def test_low_complexity(spark):
+    """Five MB of one byte, short periods and rules of signs among texts: few pieces, results as by brute force."""
+    h, s, e, n = anchors(np.full(5_000_000, 97, np.uint8), 200)
+    assert len(h) < 200 and n.sum() == 5_000_000 - 199 and e[-1] + 200 == 5_000_000
+    rng = np.random.default_rng(9)
+    word = lambda k: bytes(rng.integers(97, 123, k).astype(np.uint8)).decode()
+    body = word(600)
+    texts = {i: word(150) + "=" * 80 + word(150) for i in range(60)}
+    texts |= {100: "ab" * 1500, 101: "abc" * 700 + word(30), 102: word(40) + "ab" * 120, 103: "a" * 40_000, 104: "a" * 200, 105: "a" * 199}
+    texts |= {200 + i: body[:i] + "#" + body[i:] for i in range(0, 600, 7)} | {400: body, 401: body}
+    wanted = covered({d: t.encode() for d, t in texts.items()}, 200)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (4, 4096):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in dedup_substrings(d, block=block).collect()}
+        assert got == {k: w[:3] for k, w in wanted.items()}
+
+
 def test_missed_links(spark, monkeypatch):
     """A search that finds nothing ends in the comparison of all pairs."""
     monkeypatch.setattr(embeddings, "_descend", lambda graph, *_: graph.limit(0))
