@@ -12,37 +12,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import small_batches, tidy
 
-#: Letters are told apart by code point modulo this (alphabets up to Cyrillic without a clash).
-SLOTS = 1023
 #: n-gram vectors that a worker keeps, one byte a dimension.
 KEPT = 1 << 15
+#: Bits of a letter's number in an n-gram's code.
+BITS = 18
 
 
 @lru_cache(1)
 def _alphabet() -> np.ndarray:
-    """Slot by code point; 0 for what is no letter."""
-    out = np.zeros(sys.maxunicode + 1, np.int32)
+    """A number for each letter by code point; 0 for what is no letter."""
+    out = np.zeros(sys.maxunicode + 1, np.int64)
     letters = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isalpha()])
-    out[letters] = 1 + letters % SLOTS
+    out[letters] = 1 + np.arange(len(letters))
     return out
 
 
 class Profiles:
     """Vectors of letter trigrams: three random bipolar letter vectors, the
-    first rotated twice and the second once, bound by multiplication."""
+    first rotated twice and the second once, bound by multiplication. A
+    letter's vector is drawn when it is first met, by a seed of its own."""
 
     def __init__(self, dims: int, seed: int):
-        rng = np.random.default_rng(seed)
-        letters = (rng.integers(0, 2, (SLOTS + 1, dims)) * 2 - 1).astype(np.int8)
-        self.at = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        self.dims = dims
+        self.dims, self.seed = dims, seed
+        self.place = np.full(1 << BITS, -1, np.int64)
+        self.letters = np.zeros((0, dims), np.int8)
         self.rows: dict[int, int] = {}
         self.table = np.zeros((1024, dims), np.int8)
 
+    def letter(self, number: int) -> np.ndarray:
+        return (np.random.default_rng([self.seed, number]).integers(0, 2, self.dims) * 2 - 1).astype(np.int8)
+
     def bound(self, codes: np.ndarray) -> np.ndarray:
-        return self.at[0][codes >> 20] * self.at[1][(codes >> 10) & 1023] * self.at[2][codes & 1023]
+        a, b, c = codes >> 2 * BITS, (codes >> BITS) & ((1 << BITS) - 1), codes & ((1 << BITS) - 1)
+        used = np.unique(np.concatenate([a, b, c]))
+        new = used[self.place[used] < 0]
+        if len(new):
+            self.place[new] = len(self.letters) + np.arange(len(new))
+            self.letters = np.concatenate([self.letters, [self.letter(x) for x in new.tolist()]])
+        x, y, z = (self.letters[self.place[k]] for k in (a, b, c))
+        return np.roll(x, 2, axis=1) * np.roll(y, 1, axis=1) * z
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         """Those of codes, from the table of what was bound before."""
@@ -68,13 +78,13 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the letter trigrams of the whole text, lower case;
     anything that is no letter is a word end."""
     if not text:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     slots = _alphabet()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    slots = np.concatenate([[0], slots, [0]]).astype(np.int32)
+    slots = np.concatenate([[0], slots, [0]])
     stay = np.ones(len(slots), bool)
     stay[1:] = (slots[1:] != 0) | (slots[:-1] != 0)
     slots = slots[stay]
-    codes = (slots[:-2] << 20) | (slots[1:-1] << 10) | slots[2:]
+    codes = (slots[:-2] << 2 * BITS) | (slots[1:-1] << BITS) | slots[2:]
     return np.unique(codes[slots[1:-1] != 0], return_counts=True)
 
 
@@ -109,10 +119,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["lang", "v"])
 
     rows = docs.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(tidy(bundle), "lang string, v array<double>")
-    sums = rows.select("lang", F.posexplode("v").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum(F.round("x", 6)).alias("x"))
+    whole = F.round(F.col("x") * 1e6).cast("long")  # whole numbers: their sum doesn't hang on the order
+    sums = rows.select("lang", F.posexplode("v").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum(whole).alias("x"))
     out: dict[str, np.ndarray] = {}
     for name, pairs in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x")))).limit(max_langs + 1).collect():
-        out[name] = np.array([p["x"] for p in pairs])
+        out[name] = np.array([p["x"] for p in pairs]) / 1e6
     if len(out) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     return dict(sorted(out.items()))
@@ -123,6 +134,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     and the nearest prototype (0 to 1). Null text and text without a letter
     is ``und`` with score 0, and so is everything if nothing was learned. Ties
     go to the language that sorts first. Columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names = list(prototypes)
     dims = len(next(iter(prototypes.values()))) if names else 1

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.llm import embeddings, language, quality
+from linkloom.llm import embeddings, language, line_dedup, quality
 from linkloom.llm.embeddings import near_vectors
 from linkloom.llm.licenses import COMMON, TEMPLATES, scan
 from linkloom.llm.line_dedup import dedup_lines
@@ -39,6 +40,7 @@ OPS = {
     "lines": dedup_lines,
     "lines_first": lambda d: dedup_lines(d, min_docs=2, keep_first=True),
     "lines_join": lambda d: dedup_lines(d, min_docs=2, broadcast_bytes=0),
+    "lines_ranges": lambda d: dedup_lines(d, min_docs=2, max_bits=1 << 10),
     "substrings": dedup_substrings,
     "language": learned,
     "ngrams": near_duplicates,
@@ -151,6 +153,18 @@ def test_many_near_copies(spark):
         assert {r.doc_id: r.n_links for r in near_duplicates(d, block=block, bucket=64).collect()} == dict(enumerate(links))
 
 
+def test_filters_by_range(spark, monkeypatch):
+    """With filters far too small for all lines at once, suspects stay near the true repeats and results alike."""
+    rows = [(i, "\n".join([f"line {i} {j}" for j in range(20)] + [f"shared {i % 50}"])) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = d.select(F.col("text").cast("binary").alias("t"))
+    assert 50 <= line_dedup.suspects_by_range(texts, 21_000, 1, 1 << 13).count() <= 50 + 0.05 * 20_000
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(line_dedup, "LIMIT", limit)
+        got = [(r.n_lines, r.n_dropped) for r in dedup_lines(d, max_bits=1 << 13).collect()]
+        assert got == [(21, 1)] * 1000
+
+
 def test_kasai():
     """Common prefixes of neighbours in the order by comparing bytes."""
     rng = np.random.default_rng(8)

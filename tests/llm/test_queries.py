@@ -119,6 +119,42 @@ def test_op6(spark, sf_dir, docs):
     assert n and right / n >= 0.9
 
 
+def test_op6_by_brute_force(spark, sf_dir, docs):
+    """Profiles and cosines letter by letter, from the texts."""
+    import numpy as np
+
+    from linkloom.llm import language
+
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{sf_dir}/documents.parquet'").fetchall())
+    number = {c: i + 1 for i, c in enumerate(x for x in map(chr, range(0x110000)) if x.isalpha())}
+    p = language.Profiles(1024, 7)
+    vector: dict[str, np.ndarray] = defaultdict(lambda: None)
+    letter = {}
+
+    def one(gram):
+        if vector[gram] is None:
+            v = [letter.setdefault(c, p.letter(number.get(c, 0)).astype(float)) for c in gram]
+            vector[gram] = np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return vector[gram]
+
+    def profile(t):
+        words_ = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (t or "").lower()))
+        n = Counter(f" {w} "[i : i + 3] for w in words_ for i in range(len(w)))
+        return sum((k**0.5 * one(g) for g, k in n.items()), np.zeros(1024)), sum(n.values())
+
+    known = defaultdict(lambda: np.zeros(1024))
+    mine = {d: profile(t) for d, t in docs.items()}
+    for d, (v, n) in mine.items():
+        if lang[d] is not None and n and zlib.crc32(str(d).encode()) % 5:
+            known[lang[d]] += v / n**0.5
+    for r in queries.op6_language(spark, sf_dir).collect():
+        v, n = mine[r.doc_id]
+        cos = {k: float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)) for k, u in known.items()} if n else {}
+        best = max(sorted(cos), key=cos.get, default="und")
+        assert r.lang_pred == best or cos[best] - cos[r.lang_pred] < 1e-4
+        assert r.score == pytest.approx(min(1, max(0, cos.get(best, 0.0))), abs=1e-4)
+
+
 def licences(w, templates, common, least=2):
     """label -> largest share, by trying every template at every place."""
     out = {}
