@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small, tidy
+from .common import save, small, small_batches, tidy
 from .tokens import word_ids
 
 
@@ -95,6 +95,19 @@ class Packer:
         return rows
 
 
+def _groups(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of at most 64 texts that have ``most`` characters together, or of one longer text."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > a and (i - a == 64 or size + n > most):
+            yield a, i
+            a, size = i, 0
+        size += n
+    if texts:
+        yield a, len(texts)
+
+
 def pack(
     docs: DataFrame,
     tokenizer_file: str,
@@ -113,8 +126,9 @@ def pack(
     windows of the shortest tier that holds them, longest first, with gaps
     filled from the shorter tiers. What is left at the end of a task, less
     than the shortest tier, makes sequences of power-of-two length, whose tier
-    is that length, so nothing is padded. Memory in a task is ``room`` tokens
-    and one document.
+    is that length, so nothing is padded. Memory in a task is ``room`` tokens, an
+    Arrow batch, and the ids of 64 documents of 2^18 characters together or of
+    one longer document.
 
     A step group holds sequences of one tier, of all tasks, that together have
     at most step_sequences * top tokens. The pieces are written once to count
@@ -122,11 +136,13 @@ def pack(
     differ by one sequence at most.
 
     Null text is the empty text: the end token alone. Null and repeated keys
-    are packed like others. The file of the tokenizer is on every machine at
+    are packed like others. Strings of special tokens in a text get their ids.
+    Other columns of docs, clashing ones too, are not part of the result. The file of the tokenizer is on every machine at
     tokenizer_file. sequence_id is the task's number times 2^36 plus a count,
     so the input should be a stored table, whose partitions come again alike.
     """
     top = tiers[-1]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,8 +171,8 @@ def pack(
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                for k, ids in zip(keys[i : i + 64], coder.ids([t or "" for t in texts[i : i + 64]]), strict=True):
+            for a, z in _groups(texts):
+                for k, ids in zip(keys[a:z], coder.ids([t or "" for t in texts[a:z]]), strict=True):
                     packer.add(k, np.frombuffer(ids + end, "<u4"))
                 if len(packer.out) >= 2048 and (b := rows()):
                     yield b

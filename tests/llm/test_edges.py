@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +256,19 @@ def test_tiers(spark):
     assert sum(2 * n <= tier for tier, n in whole) <= 0.05 * len(whole)  # opened by a piece of the tier itself
 
 
+def test_special_tokens(spark):
+    """Ids of texts with strings of special tokens equal the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|><|startoftext|>Y é.", "<|ENDOFTEXT|> a", "<|endoftext|", "á<|endoftext|>\u0301b", "", "\x1c<|endoftext|>\n", None, "<|endoftext|> " * 5000]
+    coder = Tokenizer.from_file(tokenizer_path())
+    d = spark.createDataFrame([(i, t, 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, length int, task int")
+    got = {}
+    for r in sorted(pack(d, tokenizer_path()).collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {i: [*coder.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_step_groups(docs):
     """Over all tasks, the step groups of a tier are as few as can be and alike in size."""
     rows = pack(docs.repartition(4), tokenizer_path(), step_sequences=8).select("sequence_id", "tier", "step_group").distinct().collect()
@@ -264,3 +279,48 @@ def test_step_groups(docs):
         sizes = [groups.count(g) for g in set(groups)]
         assert max(sizes) - min(sizes) <= 1 and len(sizes) == -(-len(groups) * tier // (8 * 2048))
     assert len({r.step_group for r in rows}) == sum(len(set(g)) for g in by_tier.values())
+
+
+def chains(crf, x):
+    """Every labelling of a short text and its score."""
+    for path in itertools.product((0, 1), repeat=len(x)):
+        yield path, sum(crf.emit[y] @ v for y, v in zip(path, x, strict=True)) + sum(crf.step[a, b] for a, b in itertools.pairwise(path))
+
+
+def test_field_by_enumeration():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7):
+        crf = quality.Crf(rng.normal(size=(2, len(quality.NAMES))), rng.normal(size=(2, 2)))
+        x = rng.integers(0, 2, (n, len(quality.NAMES))).astype(float)
+        scored = list(chains(crf, x))
+        assert tuple(crf.viterbi(x)) == max(scored, key=lambda s: s[1])[0]
+        weights = np.exp([s for _, s in scored])
+        paths = np.array([p for p, _ in scored])
+        p, steps = crf.marginals(x)
+        assert np.allclose(p[:, 1], weights @ paths / weights.sum())
+        wanted = [[sum(w * sum(s == (a, b) for s in itertools.pairwise(path)) for path, w in zip(paths.tolist(), weights, strict=True)) / weights.sum() for b in (0, 1)] for a in (0, 1)]
+        assert np.allclose(steps, wanted)
+
+
+def test_planted_boilerplate(spark):
+    """Heads and tails of menus and notices around good texts are told from them, line by line."""
+    rng = np.random.default_rng(2)
+    say = lambda: " ".join("abcdefghij"[i] * 3 + "klmnopqrst"[j] for i, j in rng.integers(0, 10, (14, 2))).capitalize() + "."
+    menu, tail = ["Home | News | Sport | Shop | Help | More", "Log in | Sign up | Cookies | Privacy policy"], ["Subscribe to our newsletter! Click here", "Copyright 2020 Example. All rights reserved."]
+    good, junk = [], []
+    for i in range(60):
+        body = [say() for _ in range(6)]
+        good.append("\n".join([*menu, *body, *tail] if i % 2 else body))
+        junk.append("\n".join([" ### ".join(say().upper().split()) + "!!" for _ in range(6)]))
+    d = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    crf = quality.learn(d, spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int"))
+    label = lambda lines: crf.viterbi(quality.line_features([x.encode() for x in lines])).tolist()
+    body = [say() for _ in range(7)]
+    assert label([*menu, *body, *tail]) == [0, 0, *[1] * 7, 0, 0]
+    assert label(body) == [1] * 7 and not any(label(junk[0].split("\n")))
+    got = {r.doc_id: r for r in quality.judge(d, crf, min_words=10).collect()}
+    for i, t in enumerate(good + junk):
+        lines = t.split("\n")
+        words_ = [len(x.split()) for x in lines]
+        assert got[i].content_share == sum(n for n, y in zip(words_, label(lines), strict=True) if y) / sum(words_)
+        assert got[i].kept == (i < 60)
