@@ -1,7 +1,9 @@
 """A corpus pipeline: language, shared lines, near duplicates, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of docs, extra ones too, whatever
+their names. An empty table gives an empty one. Rows with a null id, source or
+language are documents like others; repeated rows are copies of each other.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import language
-from linkloom.llm.common import save, small_batches, table
+from linkloom.llm.common import mark, save, small_batches, sweep, table
 from linkloom.llm.line_dedup import dedup_lines
 from linkloom.llm.mixing import mix
 from linkloom.llm.ngram_join import near_duplicates
@@ -20,7 +22,8 @@ from linkloom.llm.queries import tokenizer_path
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that no learned profile
-    resembles: score under the floor that the learned documents give."""
+    resembles: score under the floor that the learned documents give. Null
+    and empty texts have no letter; a null language teaches nothing."""
     small_batches(spark)
     taught = docs.where(~language.held_out("doc_id"))
     profiles = language.learn(taught)
@@ -30,27 +33,31 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that ten documents or more hold; every document stays."""
+    """Drops the lines that ten documents or more hold; every document stays,
+    one without a line left as the empty text. n_chars follows the text."""
     small_batches(spark)
     out = dedup_lines(docs, min_docs=10, min_chars=1)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, the one with the
+    smallest id (null last), or one of several with that id. Texts without
+    words are in no group and stay."""
     small_batches(spark)
     return near_duplicates(docs, n=5, threshold=0.8).where("kept").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, three times at most; texts
+    without words not at all. Equal rows are taken or left together."""
     small_batches(spark)
     taken = mix(docs).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences; a text of any length is cut."""
     small_batches(spark)
     return pack(docs, tokenizer_path()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
@@ -70,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage saved on its way, and the table it read, goes
+    once its own result is written."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
