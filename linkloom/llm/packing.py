@@ -95,12 +95,12 @@ class Packer:
         return rows
 
 
-def _groups(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of at most 64 texts that have ``most`` characters together, or of one longer text."""
+def _groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have ``most`` characters together at most, or of one longer text."""
     a = size = 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if i > a and (i - a == 64 or size + n > most):
+        if i > a and size + n > most:
             yield a, i
             a, size = i, 0
         size += n
@@ -127,7 +127,7 @@ def pack(
     filled from the shorter tiers. What is left at the end of a task, less
     than the shortest tier, makes sequences of power-of-two length, whose tier
     is that length, so nothing is padded. Memory in a task is ``room`` tokens, an
-    Arrow batch, and the ids of 64 documents of 2^18 characters together or of
+    Arrow batch, and the ids of documents of 2^21 characters together or of
     one longer document.
 
     A step group holds sequences of one tier, of all tasks, that together have
@@ -179,7 +179,6 @@ def pack(
             if b := rows():
                 yield b
         packer.flush(last=True)
-        coder.rest()
         if b := rows():
             yield b
 
