@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import quote, unquote
+from urllib.parse import quote, unquote, unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column
@@ -161,9 +161,40 @@ def _extras(c: pd.Series) -> pd.Series:
     return c.map(normalize_extras_text, na_action="ignore")
 
 
+#: Letters that stand for control characters after a backslash.
+_CONTROLS = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+_ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([abfnrtv\\'\"/])|(.)|$)", re.S)
+
+
+def unescape_text(text: str | None) -> str | None:
+    """Percent-decoding, a guess of the charset (UTF-8, else Windows-1252), then
+    backslash escapes, pairs of surrogates too; a text with an unknown one keeps its backslashes."""
+    if text is None:
+        return None
+    raw = unquote_to_bytes(text)
+    try:
+        plain = raw.decode()
+    except UnicodeDecodeError:
+        plain = raw.decode("cp1252", "replace")
+    bad = False
+
+    def one(m: re.Match) -> str:
+        nonlocal bad
+        code = m[1] or m[2] or m[3]
+        if code:
+            n = int(code, 16)
+            bad |= n > 0x10FFFF
+            return "" if n > 0x10FFFF else chr(n)
+        bad |= m[4] is None
+        return _CONTROLS.get(m[4], m[4] or "")
+
+    out = _ESCAPE.sub(one, plain).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return plain if bad else out
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(c: pd.Series) -> pd.Series:
-    return c.map(lambda t: re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), unquote(t, errors="replace")), na_action="ignore")
+    return c.map(unescape_text, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -203,7 +234,10 @@ def normalize_extras(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return _unescape(c)
+    """Remarks as they are meant: see unescape_text. Only text with a percent
+    sign or a backslash goes through the Arrow function."""
+    some = c.rlike(r"[%\\]")
+    return F.when(some, _unescape(F.when(some, c))).otherwise(c)
 
 
 def idna_host(c: Column) -> Column:
