@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import sys
 import time
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import duration_seconds
 from .operators import ping, records, store, whitelist
+from .operators.staging import drop_staged, stage
 from .plans.pipeline import Pipeline, recheck
 from .sources import readers
 
@@ -68,13 +69,6 @@ def _lists(spark: SparkSession, a: argparse.Namespace) -> tuple | None:
     return tuple(f(spark.read.text(p)) for f, p in zip((whitelist.sni_list, whitelist.ip_list, whitelist.cidr_list), files, strict=True))
 
 
-def _stage(df: DataFrame, db: str) -> DataFrame:
-    """df, written once under db: a download or a probe isn't run again by later steps."""
-    path = f"{db}/_staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _known(p: Pipeline, scope: str) -> DataFrame:
     """url, type, cutoff of the stored sources that can be read again; a channel
     goes on from the newest thing seen there, and one never seen is left out."""
@@ -88,11 +82,15 @@ def _known(p: Pipeline, scope: str) -> DataFrame:
 def _add(p: Pipeline, listed: DataFrame, a: argparse.Namespace, now: int, fetch: readers.Fetch) -> Pipeline:
     """listed: url, type, cutoff."""
     web = listed.where((F.col("type") != "telegram") & F.col("url").rlike("^https?:"))
-    p.add_blobs(_stage(readers.read_urls(web, fetch), a.db), now)
+    p.add_blobs(stage(readers.read_urls(web, fetch), a.db), now)
     files = [r.url for r in listed.where(F.col("url").startswith("file:")).select("url").toLocalIterator()]
     if files:
         p.add_blobs(readers.read_files(p.spark, *files), now)
-    return p.add_messages(_stage(readers.read_channels(listed.where("type = 'telegram'"), fetch), a.db))
+    channels = listed.where("type = 'telegram'")
+    pages = stage(readers.channel_pages(channels, None if fetch is readers.http_fetch else fetch), a.db)
+    for r in pages.where("error IS NOT NULL").select("url", "error").toLocalIterator():
+        print(f"{r.url}: {r.error}", file=sys.stderr)
+    return p.add_messages(readers.channel_messages(pages, channels))
 
 
 def _finish(p: Pipeline, a: argparse.Namespace) -> Pipeline:
@@ -112,7 +110,7 @@ def _selected(p: Pipeline, a: argparse.Namespace, now: int) -> DataFrame:
 
 def _probe(p: Pipeline, rows: DataFrame, a: argparse.Namespace, now: int, probe: Callable) -> DataFrame:
     """Probes the endpoints of rows and stores the results with their servers."""
-    results = _stage(ping.ping(ping.endpoints(rows), probe), a.db)
+    results = stage(ping.ping(ping.endpoints(rows), probe), a.db)
     p.servers = store.apply_pings(p.servers, results.select("host", "port", ping.ping_json(F.col("kind"), F.col("status")).alias("ping"), F.lit(now).cast("long").alias("ping_ts")))
     p.commit(a.db)
     return results
@@ -132,6 +130,13 @@ def main(args: list[str] | None = None, fetch: readers.Fetch = readers.http_fetc
     """Without a command every known source is read again."""
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("linkloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    try:
+        _main(spark, a, fetch, probe)
+    finally:
+        drop_staged(spark)
+
+
+def _main(spark: SparkSession, a: argparse.Namespace, fetch: readers.Fetch, probe: Callable) -> None:
     now = int(time.time())
     p = Pipeline.load(spark, a.db, _lists(spark, a))
     if a.command == "ping":

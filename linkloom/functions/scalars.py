@@ -146,7 +146,7 @@ def host_kind(host: Column) -> Column:
     )
 
 
-HOSTPORT = r"^(?:.*\$\*@|@)*(\[[0-9A-Fa-f:.]+\]|[^:/?#&=\[\]]*|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*?)(?::([0-9][0-9,-]*))?(?:[/?&].*|[^:]*=.*)?$"
+HOSTPORT = r"^(?:.*\$\*@|@)*(\[[0-9A-Fa-f:.]+\]|[^:/?#&=\[\]]*|[0-9A-Fa-f:.]*:[0-9A-Fa-f.]*(?=:[0-9]))(?::([0-9][0-9,-]*))?(?:[/?&].*|[^:]*=.*)?$"
 
 
 def split_hostport(c: Column) -> Column:

@@ -52,10 +52,8 @@ def ping(targets: DataFrame, probe: Callable[[str, int, str], float] = probe_soc
     def one(host: str, port: str, kind: str):
         try:
             return "Done", float(probe(host, int(port), kind)), None
-        except TimeoutError:
-            return "Fail", None, "timeout"
-        except OSError as e:
-            return "Fail", None, str(e) or type(e).__name__
+        except Exception as e:  # noqa: BLE001  an endpoint that can't be probed is a row with its error
+            return "Fail", None, failure(e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(in_flight) as pool:
@@ -86,6 +84,24 @@ def reachable(servers: DataFrame, results: DataFrame, threshold_ms: float | None
     return servers.join(good, (F.lower(servers["host"]) == good["__h"]) & (servers["port"] == good["__p"]), "left_semi")
 
 
+def with_results(servers: DataFrame, results: DataFrame) -> DataFrame:
+    """servers that have a usable port and a result for their endpoint, with its status."""
+    got = results.select(F.lower("host").alias("__h"), F.col("port").alias("__p"), "status").dropDuplicates(["__h", "__p"])
+    rows = servers.where(pingable(F.col("port")))
+    return rows.join(got, (F.lower(rows["host"]) == got["__h"]) & (rows["port"] == got["__p"])).drop("__h", "__p")
+
+
+def failure(e: Exception, timeout: float = 3.0) -> str:
+    """The text of a failed probe by its class: timeout, refused, name or network."""
+    if isinstance(e, TimeoutError):
+        return f"connection timed out after {timeout:g}s"
+    if isinstance(e, ConnectionRefusedError):
+        return f"connection refused: {e}"
+    if isinstance(e, (socket.gaierror, FileNotFoundError, UnicodeError)):
+        return f"DNS resolution failed: {e}"
+    return f"network error: {e}" if str(e) else f"network error: {type(e).__name__}"
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     s = F.col("status")
     ok = F.concat(F.lit(" ok "), F.format_string("%.1f", s["latency_ms"]), F.lit("ms"))
@@ -93,4 +109,4 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select(F.concat("host", F.lit(":"), "port", text).alias("line"))
 
 
-__all__ = ["endpoints", "kind_of", "ping", "ping_json", "pingable", "probe_socket", "reachable", "result_lines", "threshold", "within"]
+__all__ = ["endpoints", "failure", "kind_of", "ping", "ping_json", "pingable", "probe_socket", "reachable", "result_lines", "threshold", "with_results", "within"]

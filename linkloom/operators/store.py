@@ -32,6 +32,18 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/servers/_SUCCESS")))
 
 
+def tags(spark: SparkSession, path: str) -> set[str]:
+    """The micro-batches that whole commits under path hold."""
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    marked = [f"{path}/{v}/tag" for v in versions(spark, path) if at(path).getFileSystem(conf).exists(at(f"{path}/{v}/tag"))]
+    return {r.tag for r in spark.read.schema("tag string").parquet(*marked).collect()} if marked else set()  # one row a commit
+
+
+def get_server(servers: DataFrame, server_id: int) -> DataFrame:
+    """The server of an id, all 15 columns: one row or none."""
+    return servers.where(F.col("id") == server_id)
+
+
 def source_type(url: Column) -> Column:
     return F.when(url.rlike("^https?://t\\.me/"), "telegram").when(url.rlike("^https?://"), "subscription").otherwise("other")
 
@@ -146,6 +158,20 @@ def dead_letters(dead: DataFrame) -> DataFrame:
     return dead.select("raw_url", scheme.alias("scheme"), "error", stable64(F.col("url")).alias("source_id"), source_type(F.col("url")).alias("source_type"), F.col("seen_ts").alias("timestamp"))
 
 
+def summary_json(totals: DataFrame) -> DataFrame:
+    """One row, summary: the counts of scheme_totals as JSON, schemes in order, the whole under total."""
+    one = F.struct(F.col("n_ok").alias("ok"), F.col("n_fail").alias("fail"), F.col("n_total").alias("total"))
+    rows = totals.select(F.col("schema").alias("k"), one.alias("v"))  # one row a scheme
+    schemes = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))))
+    return rows.agg(F.to_json(F.struct(schemes.alias("by_scheme"), F.first(F.when(F.col("k").isNull(), F.col("v")), ignorenulls=True).alias("total"))).alias("summary"))
+
+
+def ages(servers: DataFrame, now: int) -> DataFrame:
+    """Youngest, oldest and mean age in seconds by schema."""
+    age = F.lit(now) - F.col("first_seen_ts")
+    return servers.groupBy("schema").agg(F.min(age).alias("youngest"), F.max(age).alias("oldest"), F.avg(age).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 def scheme_totals(servers: DataFrame, ok: Column) -> DataFrame:
     """Counts by scheme and in all, in one pass."""
     return servers.rollup("schema").agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_fail"), F.count(F.lit(1)).alias("n_total"))
@@ -156,3 +182,12 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Dat
     from pyspark.sql import Window
 
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= k)
+
+
+def round_robin(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The distinct rows' first k of each group, dealt in turn: place numbers
+    them by rank and then by group. The final order is over k rows a group."""
+    from pyspark.sql import Window
+
+    few = top_per_group(df.distinct(), group, order, k)
+    return few.withColumn("place", F.row_number().over(Window.orderBy("rn", group)).cast("long"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.linkparse import PARSERS
 from ..operators import extract, ping, records, store, whitelist
+from ..operators.staging import stage
 from ..operators.uri import split_uri
 from . import testlinks as L
 
@@ -278,18 +279,22 @@ def fk_violations(spark, d):
     return store.fk_violations(L.table(spark, d, "orders"), parent, "o_custkey", "c_custkey").select("o_orderkey")
 
 
-@query("servers_ordered", f"SELECT id, row_number() OVER (ORDER BY schema, remarks NULLS LAST, id) AS place FROM {SRV}")
-def servers_ordered(spark, d):
-    """Places by a range shuffle: rows of a range are numbered after the counts of the ranges before."""
-    rows = store.in_order(_servers(spark, d)).select("id").withColumn("m", F.monotonically_increasing_id())
-    part = F.shiftright("m", 33)
-    sizes = rows.groupBy(part.alias("p")).count().collect()  # one row a task
+def placed(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """ordered with the place of each row, from 1. The sorted rows are written
+    once; a row's place is its number in its file and the sizes of the files
+    before, so no task holds them all."""
+    rows = stage(ordered.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
     base, total = {}, 0
-    for p, n in sorted(sizes):
+    for p, n in sorted(rows.groupBy(part.alias("p")).count().collect()):  # one row a task
         base[p] = total - (p << 33)
         total += n
-    offset = S.lit_map(base or {0: 0})
-    return rows.select("id", (F.col("m") + F.element_at(offset, part) + 1).alias("place"))
+    return rows.withColumn(place, F.col("__m") + F.element_at(S.lit_map(base or {0: 0}), part) + 1).drop("__m")
+
+
+@query("servers_ordered", f"SELECT id, row_number() OVER (ORDER BY schema, remarks NULLS LAST, id) AS place FROM {SRV}")
+def servers_ordered(spark, d):
+    return placed(store.in_order(_servers(spark, d)).select("id"))
 
 
 NETS = "(SELECT n_nationkey AS k FROM nation)"
@@ -414,7 +419,9 @@ def export_text(spark, d):
     return store.export_lines(s, sources, records.rebuild(F.col("cfg")), "now").where("part = 4").select("part", "id", "line")
 
 
-@query("page_paragraphs")
+@query("page_paragraphs", r"""SELECT page_id, unnest(generate_series(0, len(ps) - 1))::INT AS pos,
+ unnest(list_transform(ps, lambda p: trim(regexp_replace(regexp_replace(p, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')))) AS text
+ FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages) WHERE len(ps) > 0""")
 def page_paragraphs(spark, d):
     return L.table(spark, d, "pages").select("page_id", F.posexplode(extract.paragraphs(F.col("html"))).alias("pos", "text"))
 
@@ -441,3 +448,6 @@ def flagship(spark, d):
     p = records.parse_links(links).where("cfg IS NOT NULL").select(F.col("k").alias("server_id"), records.uid(F.col("cfg")).alias("uid"))
     e = events(spark, d).join(p, "server_id").withColumn("first_seen_ts", F.col("seen_ts"))
     return store.first_seen(e, key="server_id").select("server_id", "first_seen_ts", "n_sightings")
+
+
+from . import branch_queries  # noqa: E402, F401  registers the queries of single branches

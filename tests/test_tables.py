@@ -85,14 +85,62 @@ def test_sources(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
+    """Two runs of a stream, a batch that comes again, and a new driver on the old checkpoint."""
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_bytes(LINKS)
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    db, at = str(tmp_path / "db"), str(tmp_path / "q")
     p = Pipeline(spark)
     for _ in range(2):
-        collect_into(p, stream_files(spark, str(tmp_path / "in")), str(tmp_path / "q")).awaitTermination()
+        collect_into(p, stream_files(spark, str(tmp_path / "in")), at, db).awaitTermination()
         (tmp_path / "in/b.txt").write_bytes(LINKS)
     assert p.servers.count() == 2 and p.sightings.count() == 4
+    (tmp_path / "q/commits/1").unlink()  # the driver died after the store's commit, before the stream's
+    (tmp_path / "q/commits/.1.crc").unlink(missing_ok=True)
+    new = Pipeline(spark)
+    collect_into(new, stream_files(spark, str(tmp_path / "in")), at, db).awaitTermination()
+    assert new.servers.count() == 2 and new.sightings.count() == 4
+    assert store.tags(spark, db) == {f"{at}#0", f"{at}#1"}
+
+
+def test_channels(spark):
+    """Pages are followed to the cut-off; a channel that fails is a row with its error."""
+    def fetch(url):
+        if "down" in url:
+            raise OSError("HTTP status 503")
+        if "odd" in url:
+            return b'<time datetime="never"></time>'
+        n = int(url.partition("before=")[2] or 30)
+        return "".join(PAGE.format(i, i, 1 + i // 10) for i in range(max(1, n - 5), n)).encode()
+
+    rows = [("https://t.me/s/good", 1704153600), ("https://t.me/s/down", 1), ("https://t.me/s/odd", 1), ("https://t.me/s/one", None)]
+    channels = spark.createDataFrame(rows, "url string, cutoff long")
+    pages = readers.channel_pages(channels, fetch).collect()
+    assert [r.error for r in pages if "down" in r.url] == ["HTTP status 503"] and sum("odd" in r.url for r in pages) == 1
+    got = readers.read_channels(channels, fetch).collect()
+    assert sorted(r.msg_id for r in got if "good" in r.url) == list(range(10, 30))
+    assert sorted(r.msg_id for r in got if "one" in r.url) == list(range(25, 30))
+
+
+def test_lists_large_and_small(spark, monkeypatch):
+    """Broadcast lists and shuffled ones give the same flags; hosts that are names or null go to no common key."""
+    hosts = [("h1.example.com", None), ("1.2.3.4", "H1.example.com"), ("5.6.7.8", None), (None, None), ("9.9.9.9", "x")] * 3
+    df = spark.createDataFrame([(i, *h) for i, h in enumerate(hosts)], "k int, host string, sni string")
+    val = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    lists = (whitelist.sni_list(val("h1.example.com")), whitelist.ip_list(val("1.2.3.4")), whitelist.cidr_list(val("5.0.0.0/8", "5.6.0.0/16", "1.2.3.0/24")))
+    got = []
+    for limit in (1 << 25, 0):
+        monkeypatch.setattr("linkloom.operators.staging.BROADCAST", limit)
+        from pyspark.sql import functions as F
+
+        got.append({r.k: r.flags for r in whitelist.with_flags(df, F.col("host"), F.col("sni"), *lists).collect()})
+    assert got[0] == got[1] == {i: (1, 7, 2, 0, 0)[i % 5] for i in range(15)}
+
+
+def test_lookup_and_misses(spark):
+    p = Pipeline(spark).add_blobs(blobs(spark), 100).run()
+    (one, *_) = p.servers.collect()
+    assert p.lookup(one.id).collect() == [one] and p.lookup(-5).count() == 0 and len(one) == 15
+    assert p.parsed == 2 and p.missed.count() == 0
 
 
 def test_cli(spark, tmp_path, capsys):
