@@ -45,9 +45,12 @@ def canonical_scheme(c: Column) -> Column:
 
 
 def pct_decode(c: Column) -> Column:
-    """Percent-decoding: plus signs and stray percent signs stay."""
+    """Percent-decoding: plus signs and stray percent signs stay, and a text
+    that isn't UTF-8 afterwards stays as it was."""
     safe = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(safe), c)
+    plain = F.coalesce(F.try_url_decode(safe), c)
+    lossy = plain.contains("\ufffd") & ~c.contains("\ufffd") & ~F.upper(c).contains("%EF%BF%BD")
+    return F.when(lossy, c).otherwise(plain)
 
 
 def pct_encode(c: Column) -> Column:
@@ -167,14 +170,16 @@ def to_bool(c: Column) -> Column:
 
 
 def port_ranges(c: Column) -> Column:
-    """array<struct<lo,hi>> of '1-3,5', sorted and merged where ranges overlap; null if malformed."""
+    """array<struct<lo,hi>> of '1-3,5', sorted and merged where ranges overlap;
+    null if malformed, over 65535, or with a range that ends before it begins."""
     parts = F.transform(F.split(c, ","), lambda x: F.struct(before(x, "-").cast("int").alias("lo"), F.coalesce(after(x, "-"), x).cast("int").alias("hi")))
     kind = "array<struct<lo:int,hi:int>>"
     step = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["lo"] <= F.try_element_at(acc, F.lit(-1))["hi"]),
         F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["lo"].alias("lo"), F.greatest(F.try_element_at(acc, F.lit(-1))["hi"], x["hi"]).alias("hi")))),
     ).otherwise(F.concat(acc, F.array(x)))
-    return F.when(c.rlike(r"^\d{1,5}(-\d{1,5})?(,\d{1,5}(-\d{1,5})?)*$"), F.aggregate(F.array_sort(parts), F.array().cast(kind), step))
+    fine = c.rlike(r"^[0-9]{1,5}(-[0-9]{1,5})?(,[0-9]{1,5}(-[0-9]{1,5})?)*$") & F.forall(parts, lambda x: (x["lo"] <= x["hi"]) & (x["hi"] <= 65535))
+    return F.when(fine, F.aggregate(F.array_sort(parts), F.array().cast(kind), step))
 
 
 def port_text(ranges: Column) -> Column:

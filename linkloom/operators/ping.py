@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import socket
 import time
 from collections.abc import Callable, Iterator
@@ -30,18 +31,45 @@ def endpoints(servers: DataFrame) -> DataFrame:
     return rows.groupBy("host", "port").agg(F.min_by("kind", "id").alias("kind"))
 
 
+#: A QUIC version that no server has (RFC 9000, 15: reserved to force negotiation), and the least size of a first packet.
+NO_VERSION, FIRST_PACKET = 0x1A2A3A4A, 1200
+
+
+def _udp(host: str, port: int, timeout: float) -> socket.socket:
+    kind, _, _, _, address = socket.getaddrinfo(host, port, type=socket.SOCK_DGRAM)[0]
+    s = socket.socket(kind, socket.SOCK_DGRAM)
+    s.settimeout(timeout)
+    s.connect(address)
+    return s
+
+
+def _probe_quic(host: str, port: int, timeout: float) -> None:
+    """Asks for a version that doesn't exist: every QUIC server answers with
+    those it has (version negotiation), before any cryptography. The answer
+    must carry both connection ids back."""
+    mine, theirs = os.urandom(8), os.urandom(8)
+    first = bytes([0xC0]) + NO_VERSION.to_bytes(4, "big") + b"\x08" + theirs + b"\x08" + mine
+    wanted = b"\0\0\0\0\x08" + mine + b"\x08" + theirs
+    ends = time.monotonic() + timeout
+    with _udp(host, port, timeout) as s:
+        s.send(first.ljust(FIRST_PACKET, b"\0"))
+        while (left := ends - time.monotonic()) > 0:
+            s.settimeout(left)
+            got = s.recv(2048)
+            if got[:1] and got[0] & 0x80 and got[1:].startswith(wanted):
+                return
+    raise TimeoutError
+
+
 def probe_socket(host: str, port: int, kind: str, timeout: float = 3.0) -> float:
-    """Milliseconds to connect (TCP) or to send one byte (UDP); raises OSError."""
-    if kind == "quic":
-        raise OSError("no QUIC prober given")
+    """Milliseconds to connect (TCP), to get a QUIC server's versions, or to send one byte (UDP); raises OSError."""
     began = time.monotonic()
-    if kind == "tcp":
+    if kind == "quic":
+        _probe_quic(host, port, timeout)
+    elif kind == "tcp":
         socket.create_connection((host, port), timeout).close()
     else:
-        six = socket.AF_INET6 if ":" in host else socket.AF_INET
-        with socket.socket(six, socket.SOCK_DGRAM) as s:
-            s.settimeout(timeout)
-            s.connect((host, port))
+        with _udp(host, port, timeout) as s:
             s.send(b"\0")
     return (time.monotonic() - began) * 1000
 

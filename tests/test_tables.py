@@ -163,6 +163,86 @@ def test_ping(spark):
     assert got["h.example"].type == "Done" and got["h.example"].latency_ms == 5.0 and got["down.example"].type == "Fail"
 
 
+def test_probes():
+    """TCP, UDP and QUIC against sockets of this machine; a QUIC answer must carry the ids back."""
+    import socket
+    import threading
+
+    with socket.create_server(("127.0.0.1", 0)) as server:
+        assert 0 <= ping.probe_socket("127.0.0.1", server.getsockname()[1], "tcp", 2) < 2000
+        port = server.getsockname()[1]
+    with pytest.raises(ConnectionRefusedError):
+        ping.probe_socket("127.0.0.1", port, "tcp", 2)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as server:
+        server.bind(("127.0.0.1", 0))
+        port = server.getsockname()[1]
+
+        def answer(right: bool) -> None:
+            data, at = server.recvfrom(2048)
+            assert len(data) >= 1200 and data[0] & 0x80
+            theirs, mine = data[6:14], data[15:23]
+            server.sendto(b"\x80" + bytes(4) + b"\x08" + (mine if right else bytes(8)) + b"\x08" + theirs + b"\0\0\0\1", at)
+
+        for right in (True, False):
+            t = threading.Thread(target=answer, args=(right,))
+            t.start()
+            if right:
+                assert ping.probe_socket("127.0.0.1", port, "quic", 2) < 2000
+            else:
+                with pytest.raises(TimeoutError):
+                    ping.probe_socket("127.0.0.1", port, "quic", 0.3)
+            t.join()
+        assert ping.probe_socket("127.0.0.1", port, "udp", 1) < 1000
+    texts = [ping.failure(e) for e in (TimeoutError(), ConnectionRefusedError("x"), socket.gaierror("y"), OSError("z"))]
+    assert texts == ["connection timed out after 3s", "connection refused: x", "DNS resolution failed: y", "network error: z"]
+
+
+def test_http(monkeypatch):
+    """Statuses, the deadline, and who gets the token, against a server of this machine."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(404 if "no" in self.path else 200)
+            self.end_headers()
+            for _ in range(20 if "slow" in self.path else 1):
+                self.wfile.write(b"body")
+                self.wfile.flush()
+                time.sleep(0.1 if "slow" in self.path else 0)
+
+        def log_message(self, *args):
+            pass
+
+    monkeypatch.delenv("HTTP_PROXY", raising=False)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    assert readers.http_fetch(f"{at}/x") == readers.http_fetch(f"{at}/no") == b"body"
+    with pytest.raises(readers.HttpStatus, match="404"):
+        readers.http_fetch(f"{at}/no", strict=True)
+    with pytest.raises(TimeoutError):
+        readers.http_fetch(f"{at}/slow", retries=0, deadline=0.3)
+    seen = []
+
+    class Opener:
+        def open(self, request, timeout):
+            seen.append((request.host, request.headers.get("Authorization")))
+            raise readers.HttpStatus("stop")
+
+    monkeypatch.setattr(readers, "_opener", Opener)
+    monkeypatch.setenv("GITHUB_TOKEN", "t")
+    for url in ("https://github.com/a", "https://raw.githubusercontent.com/a", "https://github.com.example/a"):
+        with pytest.raises(OSError):
+            readers.http_fetch(url, retries=0)
+    assert seen == [("github.com", "Bearer t"), ("raw.githubusercontent.com", "Bearer t"), ("github.com.example", None)]
+    monkeypatch.undo()
+    monkeypatch.setenv("HTTP_PROXY", at)
+    assert readers.http_fetch("http://elsewhere.example/x") == b"body"
+    server.shutdown()
+
+
 PAGE = """<div class="tgme_widget_message" data-post="chan/{}"><a class="tgme_widget_message_owner_name" href="https://t.me/chan">c</a>
 <div class="tgme_widget_message_text">trojan://a@h{}.example.com:443#m</div><time datetime="2024-01-0{}T00:00:00+00:00"></time></div>"""
 
