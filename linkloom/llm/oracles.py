@@ -96,3 +96,66 @@ n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, t.c AS component_id, vec_id = t.c AS kept
 FROM embeddings JOIN t ON t.node = vec_id LEFT JOIN n ON n.u = vec_id
 """
+
+OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (
+  SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS m
+  FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+s AS (SELECT rid, i FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM n),
+r AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY rid, g),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS was FROM r),
+t AS (
+  SELECT d.rid, count(*) AS n_spans, sum(b - a) AS gone,
+         string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM d JOIN k ON d.rid = k.rid GROUP BY d.rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON d.rid = t.rid
+"""
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _op9() -> str:
+    """Every template at every place of its first key phrase's first word."""
+    from .licenses import BASE, COMMON, TEMPLATES
+
+    rows = []
+    for t in TEMPLATES:
+        parts = t.text.split()
+        keys = [(next(i for i in range(len(parts)) if parts[i : i + len(k.split())] == k.split()), k.split()) for k in t.key]
+        stand = "[" + ", ".join(f"{{'at': {i}, 'words': {_list(k)}}}" for i, k in keys) + "]"
+        rows.append(f"('{t.label}', {_list(parts)}, {stand}, '{keys[0][1][0]}', {keys[0][0]}, {min(2, len(set(parts) - COMMON))})")
+    base = ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in BASE.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+phrases AS (SELECT * FROM (VALUES {base}) v(label, words)),
+b AS (
+  SELECT x.rid, label, pos FROM x JOIN phrases ON x.word = words[1] JOIN d ON d.rid = x.rid WHERE w[pos + 1 : pos + len(words)] = words),
+bs AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY rid),
+templates AS (SELECT * FROM (VALUES {", ".join(rows)}) v(label, parts, keys, opens, place, least)),
+c AS (SELECT x.rid, label, parts, keys, least, pos - place AS off, w FROM x JOIN templates ON x.word = opens JOIN d ON d.rid = x.rid),
+f AS (
+  SELECT *, list_filter(generate_series(1, len(parts)), lambda j: off + j > 0 AND off + j <= len(w) AND w[greatest(off + j, 1)] = parts[j]) AS placed
+  FROM c WHERE list_bool_and(list_transform(keys, lambda k: off + k['at'] >= 0 AND w[greatest(off + k['at'], 0) + 1 : off + k['at'] + len(k['words'])] = k['words']))),
+m AS (
+  SELECT rid, label, len(placed) / len(parts) AS share FROM f
+  WHERE len(list_distinct(list_filter(list_transform(placed, lambda j: parts[j]), lambda v: NOT list_contains({_list(sorted(COMMON))}, v)))) >= least),
+ms AS (SELECT rid, list(label) AS labels, max(share) AS share FROM m GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bs.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(array_to_string(bs.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(ms.labels, [])))), ',') AS labels,
+       CASE WHEN bs.n > 0 THEN 1.0 ELSE coalesce(ms.share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN bs ON d.rid = bs.rid LEFT JOIN ms ON d.rid = ms.rid
+"""
+
+
+OP9 = _op9()

@@ -101,4 +101,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3, "op7_embeddings": oracles.OP7, "op8_ngram_join": oracles.OP8}
+ORACLES = {"op1_mixing": oracles.OP1, "op3_line_dedup": oracles.OP3, "op4_suffix_dedup": oracles.OP4, "op9_licenses": oracles.OP9, "op7_embeddings": oracles.OP7, "op8_ngram_join": oracles.OP8}

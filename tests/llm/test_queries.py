@@ -21,7 +21,7 @@ def docs(sf_dir):
     return dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall())
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op3_line_dedup", "op7_embeddings"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op3_line_dedup", "op4_suffix_dedup", "op7_embeddings", "op9_licenses"])
 def test_matches_sql(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir)
 
