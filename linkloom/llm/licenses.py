@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,21 +76,26 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-@dataclass(frozen=True)
-class Posting:
-    """A template as the index holds it: its rarest word, the other indexed
-    words, each with their places, and the places of its key phrases."""
-
-    label: str
-    parts: list[str]
-    word: str
-    at: int
-    others: list[tuple[str, list[int]]]
-    keys: list[tuple[int, list[str]]]
-    least: int
-
-
-def index(templates: tuple[Template, ...], df: dict[str, int], min_votes: int) -> list[Posting]:
+#: A template as the index holds it: its rarest word and the other indexed
+#: words, with their places, and its key phrases with theirs.
+POSTING = "label:string,parts:array<string>,word:string,place:int,others:array<struct<word:string,places:array<int>>>,keys:array<struct<place:int,words:array<string>>>,least:int"
+#: The word of a file at a place from 0; null outside.
+AT = "try_element_at(ws, if({0} >= 0, {0} + 1, 1073741824))"
+#: For each template that a file with hits holds, its label and the largest
+#: share of its words in place: every place of the rarest word is tried, the
+#: other words' postings vote, and the key phrases must stand word for word.
+FOUND = f"""
+filter(transform(postings, t -> named_struct('label', t.label, 'share', array_max(transform(
+  filter(
+    filter(
+      transform(filter(hits, x -> x.w = t.word), x -> x.p - t.place),
+      off -> 1 + size(filter(t.others, o -> exists(o.places, j -> {AT.format("off + j")} <=> o.word))) >= t.least),
+    off -> forall(t.keys, k -> off + k.place >= 0 AND slice(ws, greatest(off + k.place, 0) + 1, size(k.words)) = k.words)),
+  off -> size(filter(sequence(0, size(t.parts) - 1), j -> {AT.format("off + j")} <=> t.parts[j])) / size(t.parts))))),
+  x -> x.share IS NOT NULL)"""
+
+
+def index(templates: tuple[Template, ...], df: dict[str, int], min_votes: int) -> list[dict]:
     """Under each template's indexed word of the highest IDF among those that
     its key phrases need: who holds the phrases holds that word in that place."""
     out = []
@@ -104,36 +108,11 @@ def index(templates: tuple[Template, ...], df: dict[str, int], min_votes: int) -
         inside = [j for i, p in keys for j in range(i, i + len(p)) if parts[j] not in COMMON]
         at = min(inside, key=lambda j: (df.get(parts[j], 0), parts[j], j))
         words_ = sorted({w for w in parts if w not in COMMON})
-        others = [(w, [j for j, x in enumerate(parts) if x == w]) for w in words_ if w != parts[at]]
-        out.append(Posting(t.label, parts, parts[at], at, others, keys, min(min_votes, len(words_))))
+        others = [{"word": w, "places": [j for j, x in enumerate(parts) if x == w]} for w in words_ if w != parts[at]]
+        out.append({"label": t.label, "parts": parts, "word": parts[at], "place": at, "others": others, "keys": [{"place": i, "words": p} for i, p in keys], "least": min(min_votes, len(words_))})
     return out
 
 
-def _word_at(i: Column) -> Column:
-    """The word at place i (from 0) of ws, null outside."""
-    return F.try_element_at("ws", F.when(i >= 0, i + 1).otherwise(1 << 30).cast("int"))
-
-
-def _shares(t: Posting) -> Column:
-    """Where a candidate's key phrases stand word for word, the share of the
-    template's words in place; one entry for each such place."""
-
-    def votes(off: Column) -> Column:
-        agree = (reduce(or_, [F.coalesce(_word_at(off + j) == w, F.lit(False)) for j in js]) for w, js in t.others)
-        return sum((a.cast("int") for a in agree), F.lit(1))
-
-    def proven(off: Column) -> Column:
-        stand = (off + min(i for i, _ in t.keys)) >= 0
-        for i, p in t.keys:
-            stand = stand & (F.slice("ws", F.greatest(off + i, F.lit(0)) + 1, len(p)) == _strings(p))
-        return stand
-
-    here = F.transform(F.filter("hits", lambda x: x["w"] == t.word), lambda x: x["p"] - t.at)
-    found = F.filter(here, lambda off: F.when(votes(off) >= t.least, proven(off)).otherwise(False))
-    same = lambda off: F.size(F.filter(F.transform(_strings(t.parts), lambda w, i: F.coalesce(_word_at(off + i) == w, F.lit(False))), lambda ok: ok))
-    return F.transform(found, lambda off: same(off) / len(t.parts))
-
-
 def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, min_votes: int = 2) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -172,9 +151,9 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
         return F.transform(here, lambda x: F.struct((x["p"] - back).cast("long").alias("p"), F.lit(BASE[phrase]).alias("label")))
 
     base = F.coalesce(F.concat(*[places(p) for p in BASE]), F.array().cast("array<struct<p:bigint,label:string>>"))
-    best = F.array(*[F.struct(F.lit(t.label).alias("label"), F.array_max(_shares(t)).alias("share")) for t in postings])
-    best = F.when(F.size("hits") > 0, F.filter(best, lambda x: x["share"].isNotNull()))
-    files = found.select("row", "n_words", base.alias("base"), F.coalesce(best, F.array().cast("array<struct<label:string,share:double>>")).alias("best"))
+    kept = found.select("*", base.alias("base"), F.from_json(F.lit(json.dumps(postings)), f"array<struct<{POSTING}>>").alias("postings"))  # a constant
+    best = F.when(F.size("hits") > 0, F.expr(FOUND))
+    files = kept.select("row", "n_words", "base", F.coalesce(best, F.array().cast("array<struct<label:string,share:double>>")).alias("best"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
     labels = F.array_sort(F.array_union(base_labels, F.transform("best", lambda x: x["label"])))
     count = F.size("base").cast("long")
