@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,10 +142,17 @@ def _release() -> None:
         pass
 
 
-def tidy(step):
-    """step for mapInArrow, with the worker's free memory released at its end."""
+#: What operators keep in a worker between tasks: how to drop it, by owner.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def tidy(step, owner: str = ""):
+    """step for mapInArrow. What other operators keep in this worker goes first
+    (workers outlive stages), and the worker's free memory at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in CACHES if k != owner]:
+            CACHES.pop(other)()
         try:
             yield from step(batches)
         finally:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, tidy
+from .common import CACHES, small_batches, tidy
 
 #: n-gram vectors that a worker keeps, one byte a dimension.
 KEPT = 1 << 15
@@ -23,7 +23,7 @@ BITS = 18
 @lru_cache(1)
 def _alphabet() -> np.ndarray:
     """A number for each letter by code point; 0 for what is no letter."""
-    out = np.zeros(sys.maxunicode + 1, np.int64)
+    out = np.zeros(sys.maxunicode + 1, np.int32)
     letters = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isalpha()])
     out[letters] = 1 + np.arange(len(letters))
     return out
@@ -71,6 +71,7 @@ class Profiles:
 
 @lru_cache(4)
 def _profiles(dims: int, seed: int) -> Profiles:
+    CACHES["profiles"] = _profiles.cache_clear
     return Profiles(dims, seed)
 
 
@@ -80,7 +81,7 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     slots = _alphabet()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    slots = np.concatenate([[0], slots, [0]])
+    slots = np.concatenate([[0], slots, [0]]).astype(np.int64)
     stay = np.ones(len(slots), bool)
     stay[1:] = (slots[1:] != 0) | (slots[:-1] != 0)
     slots = slots[stay]
@@ -118,7 +119,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1
                 total += w[i : i + 4096] @ _profiles(dims, seed).bound(codes[i : i + 4096]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    rows = docs.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(tidy(bundle), "lang string, v array<double>")
+    rows = docs.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(tidy(bundle, "profiles"), "lang string, v array<double>")
     whole = F.round(F.col("x") * 1e6).cast("long")  # whole numbers: their sum doesn't hang on the order
     sums = rows.select("lang", F.posexplode("v").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum(whole).alias("x"))
     out: dict[str, np.ndarray] = {}
@@ -129,19 +130,19 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = 7) -> DataFrame:
-    """docs with lang_pred and score, the cosine of the whole text's profile
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = 7, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (or as named), the cosine of the whole text's profile
     and the nearest prototype (0 to 1). Null text and text without a letter
     is ``und`` with score 0, and so is everything if nothing was learned. Ties
     go to the language that sorts first. Columns of those names are replaced."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*named)
     names = list(prototypes)
     dims = len(next(iter(prototypes.values()))) if names else 1
     unit = np.array([v / (np.linalg.norm(v) or 1) for v in prototypes.values()], np.float32).T if names else np.zeros((1, 0), np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((names, unit))
     column = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, unit = sent.value
@@ -160,22 +161,22 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 score.append(min(1.0, max(0.0, float(cos[k]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run, "profiles"), schema)
 
 
-def floor(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang", low: float = 0.01, least: int = 20) -> Column:
-    """The score under which a text is in no learned language, by its length.
+def floor(judged: DataFrame, languages: int, dims: int = 1024, text: str = "text", lang: str = "lang", low: float = 0.01, least: int = 20, named: tuple[str, str] = ("lang_pred", "score")) -> Column:
+    """The score under which a text is in no learned language, by its length,
+    from judged rows of known language (as predict gives them).
 
     Half way from the noise level, which the best of as many unrelated vectors
     passes once in a thousand, to the ``low`` quantile of the own-language
-    cosine over all rows of docs. Longer texts score higher, so the quantile
+    cosine over all rows of judged. Longer texts score higher, so the quantile
     is taken by the power of two of the length; a class of under ``least``
     rows has the floor of the next shorter one, the shortest the noise level."""
-    dims = len(next(iter(prototypes.values()))) if prototypes else 1
-    noise = float(np.sqrt(2 * np.log(1000 * max(1, len(prototypes))) / dims))
+    noise = float(np.sqrt(2 * np.log(1000 * max(1, languages)) / dims))
     size = F.floor(F.log2(F.length(text) + 1))
-    own = predict(docs.where(F.col(lang).isNotNull()).select(text, lang), prototypes, text).where(F.col("lang_pred") == F.col(lang))
-    classes = own.groupBy(size.alias("size")).agg(F.percentile_approx("score", low, 10000).alias("q"), F.count(F.lit(1)).alias("n")).collect()  # 32 at most
+    own = judged.where(F.col(named[0]) == F.col(lang))
+    classes = own.groupBy(size.alias("size")).agg(F.percentile_approx(named[1], low, 10000).alias("q"), F.count(F.lit(1)).alias("n")).collect()  # 32 at most
     out = F.lit(noise)
     for r in sorted(classes, key=lambda r: r["size"]):
         if r["n"] >= least:

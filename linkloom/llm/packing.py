@@ -38,7 +38,7 @@ class Packer:
         for at in range(0, cut, top):
             self._emit(top, [(key, at, ids[at : at + top], n)])
         if cut < n:
-            self.left.append((key, cut, ids[cut:], n))
+            self.left.append((key, cut, ids[cut:].copy(), n))  # a view would hold the whole document
             self.held += n - cut
         if self.held >= self.room:
             self.flush()
@@ -95,7 +95,7 @@ class Packer:
         return rows
 
 
-def _groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts that have ``most`` characters together at most, or of one longer text."""
     a = size = 0
     for i, t in enumerate(texts):
@@ -127,7 +127,7 @@ def pack(
     filled from the shorter tiers. What is left at the end of a task, less
     than the shortest tier, makes sequences of power-of-two length, whose tier
     is that length, so nothing is padded. Memory in a task is ``room`` tokens, an
-    Arrow batch, and the ids of documents of 2^21 characters together or of
+    Arrow batch, and the ids of documents of 2^20 characters together or of
     one longer document.
 
     A step group holds sequences of one tier, of all tasks, that together have
@@ -182,7 +182,7 @@ def pack(
         if b := rows():
             yield b
 
-    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), PIECES)
+    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run, "tokens"), PIECES)
     out = save(out, "pieces")
     each = out.where("offset = 0").groupBy("task", "tier").count()
     whole = Window.partitionBy("tier")

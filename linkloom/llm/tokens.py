@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 _COACHES: dict[str, WordIds] = {}
 
 
@@ -20,7 +22,7 @@ class WordIds:
     those strings, and between them words are looked up in a bounded cache and
     only unseen words are encoded."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,7 +100,8 @@ class WordIds:
             if len(self.place) + len(new) > self.room:
                 self._forget()
                 new = names
-            self._learn(new)
+            for i in range(0, len(new), 1 << 14):  # the tokenizer's own records of a text are large
+                self._learn(new[i : i + (1 << 14)])
             found = list(map(self.place.__getitem__, names))
         found = np.array(found, np.int64)
         data, cuts = _gathered(self.data, self.first[found], self.size[found], known.indices.to_numpy())
@@ -117,6 +120,7 @@ def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndar
 
 def word_ids(path: str) -> WordIds:
     """One for each Python worker and file."""
+    CACHES["tokens"] = _COACHES.clear
     if path not in _COACHES:
         _COACHES[path] = WordIds(path)
     return _COACHES[path]
