@@ -50,6 +50,7 @@ def test_odd_rows(spark, sf_dir):
     for name, stage in cp.STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
         assert docs.columns == [*real.columns, "kept", "copies", "score"]
+        assert [tuple(r) for r in docs.select("kept", "copies", "score").distinct().collect()] == [("x", 9, "y")]
         kept[name] = [r.doc_id for r in docs.where("doc_id IS NULL OR doc_id < 0").collect()]
     assert sorted(map(str, kept["language"])) == ["-2", "-3", "-3", "None"]  # texts without a letter go
     assert sorted(map(str, kept["line_dedup"])) == ["-2", "-3", "-3", "None"]
