@@ -22,7 +22,7 @@ class WordIds:
     those strings, and between them words are looked up in a bounded cache and
     only unseen words are encoded."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
