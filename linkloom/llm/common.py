@@ -19,7 +19,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 #: Folders that save() wrote in this process, oldest first.
 _SAVED: list[str] = []
 #: Bytes of one Arrow batch. A batch ends after the row that passes this.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

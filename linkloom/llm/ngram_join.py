@@ -223,7 +223,7 @@ def near_duplicates(
     n: int = 5,
     threshold: float = 0.8,
     tolerance: float = 1e-7,
-    block: int = 2048,
+    block: int = 1024,
     bucket: int = 32768,
     block_bytes: int = 32 << 20,
 ) -> DataFrame:

@@ -95,17 +95,20 @@ class Packer:
         return rows
 
 
-def _groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that have ``most`` characters together at most, or of one longer text."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > a and size + n > most:
-            yield a, i
-            a, size = i, 0
-        size += n
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of documents that have ``most`` characters together at most, or of one longer document."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            t = t or ""
+            if texts and size + len(t) > most:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+            keys.append(k)
+            texts.append(t)
+            size += len(t)
     if texts:
-        yield a, len(texts)
+        yield keys, texts
 
 
 def pack(
@@ -169,11 +172,9 @@ def pack(
                 ["doc_key", "start", "ids", "doc_tokens", "sequence_id", "offset", "tier", "task", "rank"],
             )
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in _groups(texts):
-                for k, ids in zip(keys[a:z], coder.ids([t or "" for t in texts[a:z]]), strict=True):
-                    packer.add(k, np.frombuffer(ids + end, "<u4"))
+        for keys, texts in _groups(batches):
+            for k, ids in zip(keys, coder.ids(texts), strict=True):
+                packer.add(k, np.frombuffer(ids + end, "<u4"))
                 if len(packer.out) >= 2048 and (b := rows()):
                     yield b
             if b := rows():
