@@ -133,7 +133,7 @@ def small(df: DataFrame, row_bytes: int, limit: int = LIMIT) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def _release() -> None:
+def release() -> None:
     """Gives what the worker has freed back to the machine: idle workers of earlier stages hold no memory."""
     pa.default_memory_pool().release_unused()
     try:
@@ -156,7 +156,7 @@ def tidy(step, owner: str = ""):
         try:
             yield from step(batches)
         finally:
-            _release()
+            release()
 
     return run
 

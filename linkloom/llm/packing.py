@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small, small_batches, tidy
+from .common import release, save, small, small_batches, tidy
 from .tokens import word_ids
 
 
@@ -140,8 +140,8 @@ def pack(
 
     Null text is the empty text: the end token alone. Null and repeated keys
     are packed like others. Strings of special tokens in a text get their ids.
-    Other columns of docs, clashing ones too, are not part of the result. The file of the tokenizer is on every machine at
-    tokenizer_file. sequence_id is the task's number times 2^36 plus a count,
+    Other columns of docs, clashing ones too, are not part of the result. The
+    file of the tokenizer is on every machine at tokenizer_file. sequence_id is the task's number times 2^36 plus a count,
     so the input should be a stored table, whose partitions come again alike.
     """
     top = tiers[-1]
@@ -179,6 +179,7 @@ def pack(
                     yield b
             if b := rows():
                 yield b
+            release()  # else a worker keeps what the largest groups took
         packer.flush(last=True)
         if b := rows():
             yield b
