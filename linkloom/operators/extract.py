@@ -31,11 +31,12 @@ def decode_blob(data: Column) -> Column:
     return F.coalesce(F.make_valid_utf8(raw.cast("string")), text)
 
 
-def content_lines(text: Column) -> Column:
-    """Lines that may hold links: no blanks, no # or // comments, cut at <br/>."""
-    lines = F.transform(F.split(text, r"\r?\n"), F.ltrim)
-    lines = F.filter(lines, lambda x: (F.trim(x) != "") & ~x.startswith("#") & ~x.startswith("//"))
-    return F.flatten(F.transform(lines, lambda x: F.split(x, "<br/>")))
+def content_lines(text: Column, newline: str = r"\r?\n", cut: str | None = "<br/>") -> Column:
+    """Lines that may hold links: no blanks (spaces of any alphabet), no # or //
+    comments, without spaces before them, cut at <br/> (None: whole)."""
+    lines = F.transform(F.split(text, newline), lambda x: F.ltrim(x))  # not F.ltrim: its second argument would be the line's place
+    lines = F.filter(lines, lambda x: x.rlike(r"[^\p{Zs}]") & ~x.startswith("#") & ~x.startswith("//"))
+    return lines if cut is None else F.flatten(F.transform(lines, lambda x: F.split(x, cut)))
 
 
 def slice_links(line: Column) -> Column:
