@@ -30,9 +30,10 @@ def chosen(cases: list, value=lambda c: c) -> str:
 
 
 def given(spark: SparkSession, d: str, cases: list[str]) -> DataFrame:
-    """k and raw: the case of k modulo their number."""
+    """k and raw: the case of k modulo their number. {k} in it is k, {ip6} is k as the last groups of an IPv6 address."""
     raw = F.element_at(F.array(*[F.lit(c) for c in cases]), (F.col("k") % len(cases) + 1).cast("int"))
-    return customers(spark, d).select("k", "name", F.replace(raw, F.lit("{k}"), F.col("k").cast("string")).alias("raw"))
+    groups = F.regexp_replace(F.hex("k"), "(?!^)(?=(.{4})+$)", ":")  # of four digits at most
+    return customers(spark, d).select("k", "name", F.replace(F.replace(raw, F.lit("{k}"), F.col("k").cast("string")), F.lit("{ip6}"), groups).alias("raw"))
 
 
 def cases(name: str, rows: list[tuple], outcomes: tuple[str, ...]):
@@ -107,7 +108,7 @@ def parse_shapes(links):
 @cases("parse_hostile", [
     (f"vmess://{b64('{add:a.example,port:1e999,id:x}')}", "InvalidPort"), (f"vmess://{b64('{add:a.example,port:NaN,id:x}')}", "InvalidPort"), ("trojan://p@h{k}.example.com:١٢", "InvalidPort"), ("hysteria2://a@h{k}.example.com:443-400", "InvalidPort"),
     ("vless://u@h{k}.example.com:70000", "InvalidPort"), (f"tuic://x:y{A}", "InvalidUserInfo"), ("ss://%%%@h{k}.example.com:1", "InvalidUserInfo"), ("trojan://p@a b:1", "InvalidHost"), ("trojan://p@127.0.0.1:1", "InvalidPrivateHost"),
-    ("trojan://p@[fc00::{k}]:1", "InvalidPrivateHost"), ("trojan://p@h{k}.example.com", "MissingPort"), ("trojan://p@:443", "MissingHost"), ("vmess://AAAA", "InvalidStructure"), (f"wireguard://k{A}?publickey=x", "MissingConf"), (f"vless://u{A}?type=xhttp&mode=zzz", "InvalidConf"),
+    ("trojan://p@[fc00::{ip6}]:1", "InvalidPrivateHost"), ("trojan://p@h{k}.example.com", "MissingPort"), ("trojan://p@:443", "MissingHost"), ("vmess://AAAA", "InvalidStructure"), (f"wireguard://k{A}?publickey=x", "MissingConf"), (f"vless://u{A}?type=xhttp&mode=zzz", "InvalidConf"),
     ("undefined://x{k}", "PromotionUrl"), ("anytls://a@b.example:1", "UnsupportedScheme"), ("no link {k}", "InvalidStructure"),
 ], ("error_class",))
 def parse_hostile(links):
