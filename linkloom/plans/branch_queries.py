@@ -83,7 +83,7 @@ def b64(s: str) -> str:
 
 
 @cases("parse_shapes", [
-    (f"vless://{ID}@[2001:4860::{{k}}]:8443?type=grpc&security=reality&sni=a.example&pbk=KEY&sid=0f&fp=chrome&flow=xtls#n", "vless", None, "8443", "grpc", "reality", "KEY"),
+    (f"vless://{ID}@[2001:4860::{{ip6}}]:8443?type=grpc&security=reality&sni=a.example&pbk=KEY&sid=0f&fp=chrome&flow=xtls#n", "vless", None, "8443", "grpc", "reality", "KEY"),
     (f"vless://plain-name{A}?security=none&encryption=none#x%20y", "vless", "h{k}.example.com", "443", "tcp", None, None),
     (f"vmess://{b64('{port:8080,add:' + chr(39) + 'v.example' + chr(39) + ',id:' + ID + ',net:h2,host:/p,tls:tls,sni:s.example}')}", "vmess", "v.example", "8080", "http", "tls", "/p"),
     (f"vmess://{b64('{' + chr(34) + 'add' + chr(34) + ':' + chr(34) + 'w.example' + chr(34) + ',' + chr(34) + 'port' + chr(34) + ':' + chr(34) + '443' + chr(34) + ',' + chr(34) + 'id' + chr(34) + ':' + chr(34) + ID + chr(34) + '}')}", "vmess", "w.example", "443", "tcp", None, None),
